@@ -42,7 +42,7 @@ def _list(x: Column) -> Column:
 
 
 def _path(parent: Column | str, label: str, i: Column) -> Column:
-    head = F.lit(f"{label}[") if parent == ROOT else F.concat(parent, F.lit(f".{label}["))
+    head = F.lit(f"{label}[") if isinstance(parent, str) else F.concat(parent, F.lit(f".{label}["))
     return F.concat(head, i.cast("string"), F.lit("]"))
 
 
@@ -70,7 +70,7 @@ def _scalars_of(array: Column, label: str, fields: tuple[str, ...]) -> Column:
 
 def _values(array: Column, label: str, parent: Column | str) -> Column:
     """The elements of an array of strings."""
-    up = F.lit(ROOT) if parent == ROOT else parent
+    up = F.lit(parent) if isinstance(parent, str) else parent
     return _list(F.transform(array, lambda v, j: _node(_path(parent, label, j), up, label, j, v, F.lit(False))))
 
 
