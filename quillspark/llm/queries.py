@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates
+from quillspark.llm import near_duplicates, shared_spans
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,26 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = shared_spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_passages(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_report(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p10_found": p10_found,
+        "p10_passages": p10_passages,
+        "p10_report": p10_report,
     }
 
 
