@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates, shared_spans
+from quillspark.llm import near_duplicates, residue, shared_spans
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,27 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
 
 
+RESIDUE_FIELDS = {"title": "document_info.title", "full_text_content": "full_text_content"}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = residue.find_residue(table(spark, d, "aiscript"), "rec_id", RESIDUE_FIELDS)
+    return found.select(F.col("id").alias("rec_id"), "field")
+
+
+def p7_residue(spark: SparkSession, d: str) -> DataFrame:
+    """The residue itself: where it stands and how much of the value it covers."""
+    found = residue.find_residue(table(spark, d, "aiscript"), "rec_id", RESIDUE_FIELDS)
+    return found.select(F.col("id").alias("rec_id"), "field", "coverage", F.explode("spans").alias("s")).select("rec_id", "field", "coverage", "s.start", "s.stop")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The records without residue."""
+    records = table(spark, d, "aiscript")
+    found = residue.find_residue(records, "rec_id", RESIDUE_FIELDS).select(F.col("id").alias("rec_id")).distinct()
+    return records.join(found, "rec_id", "left_anti").select("rec_id", "source", "lang", F.col("document_info.title").alias("title"), "full_text_content")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = shared_spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -39,6 +60,9 @@ def queries() -> dict[str, Query]:
     return {
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p7_found": p7_found,
+        "p7_residue": p7_residue,
+        "p7_clean": p7_clean,
         "p10_found": p10_found,
         "p10_passages": p10_passages,
         "p10_report": p10_report,
