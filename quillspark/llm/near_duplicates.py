@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._arrow import map_blocks
@@ -41,7 +41,7 @@ HALF = 16
 _P, _Q = (np.concatenate([x, x + HALF]) for x in np.triu_indices(HALF, 1))
 
 _SIGNED = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
-_SETS = pa.schema([("digest", pa.int64()), ("n_words", pa.int64()), ("features", pa.list_(pa.int64()))])
+_SETS = pa.schema([("digest", pa.int64()), ("n_words", pa.int64()), ("features", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("taken", pa.int64())])
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:
@@ -116,9 +116,38 @@ def _feature_sets(base: DataFrame) -> DataFrame:
     def kernel(digests: list, texts: list) -> list:
         f, own, n_words = shingles(texts, SHINGLE)
         at = _ranges(np.bincount(own, minlength=len(texts))).astype(np.int32)
-        return [digests, n_words, pa.ListArray.from_arrays(pa.array(at), pa.array(f.view(np.int64)))]
+        bits = [_bits(f[i:j]) for i, j in zip(at[:-1], at[1:])]
+        taken = [int(np.bitwise_count(x).sum()) for x in bits]
+        bits_at = _ranges(np.array([len(x) for x in bits], dtype=np.int64)).astype(np.int32)
+        lists = (pa.ListArray.from_arrays(pa.array(a), pa.array(x.view(np.int64))) for a, x in ((at, f), (bits_at, np.concatenate(bits))))
+        return [digests, n_words, *lists, taken]
 
-    return map_blocks(base.select("digest", "text"), "text", kernel, "digest bigint, n_words bigint, features array<bigint>", _SETS)
+    return map_blocks(base.select("digest", "text"), "text", kernel, "digest bigint, n_words bigint, features array<bigint>, bits array<bigint>, taken bigint", _SETS)
+
+
+def _bits(features: np.ndarray) -> np.ndarray:
+    """A bitmap of the features with two to four bits for each, 2048 at least."""
+    n = max(2048, 4 << (len(features).bit_length() - 1)) if len(features) else 2048
+    flags = np.zeros(n, dtype=np.uint8)
+    flags[(features % U(n)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(U)
+
+
+def _most_common(a: str, b: str) -> Column:
+    """An upper bound of the number of common features, from the bitmaps.
+
+    Common features fall on common bits, one a bit but for the features beyond the first on
+    a bit, of which the set with fewer of them bounds the number. A bitmap of twice the
+    length folds onto the other by OR.
+    """
+    def folded(x: str, y: str) -> Column:
+        n = F.size(y)
+        halves = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > n, halves).otherwise(F.col(x))
+
+    met = F.zip_with(folded(f"bits_{a}", f"bits_{b}"), folded(f"bits_{b}", f"bits_{a}"), lambda p, q: p.bitwiseAND(q))
+    extra = [F.col(f"n_{x}") - F.col(f"taken_{x}") for x in (a, b)]
+    return F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x)) + F.least(*extra)
 
 
 def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -136,12 +165,14 @@ def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: f
     wanted = classes.join(touched, "digest", "left").filter("copies > 1 or linked").select("id", "digest")
     texts = base.select("id", "text").join(wanted, "id").groupBy("digest").agg(F.first("text").alias("text"))
     sets = cut(_feature_sets(texts).filter(F.col("n_words") >= max(min_words, SHINGLE)))
-    one = lambda side: sets.select(F.col("digest").alias(side), F.col("features").alias(f"features_{side}"))
+    one = lambda side, *what: sets.withColumn("n", F.size("features")).select(F.col("digest").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in what])
+    bound = F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (1 + threshold)
+    likely = candidates.join(one("a", "bits", "taken", "n"), "a").join(one("b", "bits", "taken", "n"), "b").filter(_most_common("a", "b") >= F.floor(bound)).select("a", "b")
     common = F.size(F.array_intersect("features_a", "features_b"))
     both = F.size("features_a") + F.size("features_b")
     links = (
-        candidates.join(one("a"), "a")
-        .join(one("b"), "b")
+        likely.join(one("a", "features"), "a")
+        .join(one("b", "features"), "b")
         .select("a", "b", common.alias("common"), both.alias("both"))
         .filter(F.col("common") >= F.lit(threshold) * (F.col("both") - F.col("common")))
         .select("a", "b")
