@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates, residue, shared_spans
+from quillspark.llm import near_duplicates, residue, scan_noise, shared_spans
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.find_noise(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """All records' texts as continuous paragraphs."""
+    out = scan_noise.repaired(table(spark, d, "aiscript"), "rec_id", "full_text_content")
+    return out.select(F.col("id").alias("rec_id"), F.col("text").alias("full_text_content"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, d, "aiscript"), "rec_id", "full_text_content")
     return pairs.select(F.col("id_a").alias("rec_id_a"), F.col("id_b").alias("rec_id_b"))
@@ -58,6 +68,8 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_repaired": p1_repaired,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p7_found": p7_found,
