@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates, residue, scan_noise, shared_spans
+from quillspark.llm import near_duplicates, residue, scan_noise, shared_spans, truncation
+from quillspark.session import cut
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+RESIDUE_FIELDS = {"title": "document_info.title", "full_text_content": "full_text_content"}
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.find_noise(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
@@ -23,6 +26,27 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("rec_id"), F.col("text").alias("full_text_content"))
 
 
+def _inspected(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "aiscript")
+    model = residue.fit_on(records, RESIDUE_FIELDS)
+    fields = {"full_text_content": "full_text_content", "summary": "main_content.summary"}
+    return cut(truncation.inspect(records, "rec_id", fields, "source", model, ("full_text_content",)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(_inspected(spark, d)).withColumnRenamed("id", "rec_id")
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden storage limits: lengths, by way of counting, at which values pile up."""
+    return truncation.hidden_limits(_inspected(spark, d))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_report(_inspected(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, d, "aiscript"), "rec_id", "full_text_content")
     return pairs.select(F.col("id_a").alias("rec_id_a"), F.col("id_b").alias("rec_id_b"))
@@ -32,9 +56,6 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
 
 
-RESIDUE_FIELDS = {"title": "document_info.title", "full_text_content": "full_text_content"}
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = residue.find_residue(table(spark, d, "aiscript"), "rec_id", RESIDUE_FIELDS)
     return found.select(F.col("id").alias("rec_id"), "field")
@@ -70,6 +91,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_repaired": p1_repaired,
+        "p2_found": p2_found,
+        "p2_limits": p2_limits,
+        "p2_report": p2_report,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p7_found": p7_found,
