@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import near_duplicates, residue, scan_noise, shared_spans, truncation
+from quillspark.llm import languages, near_duplicates, residue, scan_noise, shared_spans, truncation
 from quillspark.session import cut
 from quillspark.sources.tables import table
 
@@ -56,6 +56,24 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
 
 
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "aiscript")
+    codes = {r["code"]: r["name"] for r in table(spark, d, "lang_code").select("code", "name").collect()}
+    model = residue.fit_on(records, RESIDUE_FIELDS)
+    return languages.language_stretches(records, "rec_id", "full_text_content", "lang", codes, model)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of the records whose label is missing or wrong, or which mix languages."""
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("doc_lang")) | (F.col("n_segments") > 1)
+    return _stretches(spark, d).filter(wrong).select(F.col("id").alias("rec_id"), "seg_no", "lang")
+
+
+def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The language and confidence of each stretch of each record."""
+    return _stretches(spark, d).select(F.col("id").alias("rec_id"), "seg_no", "lang", "confidence", "start", "stop", F.col("doc_lang").alias("record_lang"), F.col("doc_confidence").alias("record_confidence"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = residue.find_residue(table(spark, d, "aiscript"), "rec_id", RESIDUE_FIELDS)
     return found.select(F.col("id").alias("rec_id"), "field")
@@ -96,6 +114,8 @@ def queries() -> dict[str, Query]:
         "p2_report": p2_report,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p6_found": p6_found,
+        "p6_stretches": p6_stretches,
         "p7_found": p7_found,
         "p7_residue": p7_residue,
         "p7_clean": p7_clean,
