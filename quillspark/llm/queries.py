@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import languages, near_duplicates, residue, scan_noise, shared_spans, truncation
+from quillspark.llm import languages, near_duplicates, residue, scan_noise, shared_spans, splitting, truncation
 from quillspark.session import cut
 from quillspark.sources.tables import table
 
@@ -47,6 +47,25 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(_inspected(spark, d))
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all oversized values."""
+    rows = table(spark, d, "size_limit").limit(1000).collect()  # one row for each field
+    limits = {r["field"]: (r["max_chars"], r["overlap_chars"]) for r in rows}
+    return splitting.oversized(splitting.record_values(table(spark, d, "aiscript")), limits).withColumnRenamed("id", "rec_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).filter("piece_no = 1").select("rec_id", "field", "pos").distinct()
+
+
+P3_SQL = """
+WITH sections AS (SELECT rec_id, generate_subscripts(detailed_sections, 1) - 1 AS pos, unnest(detailed_sections) AS s FROM aiscript),
+vals AS (SELECT rec_id, 'full_text_content' AS field, 0 AS pos, length(full_text_content) AS n FROM aiscript
+  UNION ALL SELECT rec_id, 'detailed_sections', pos, length(s.content) FROM sections)
+SELECT DISTINCT rec_id, v.field, CAST(pos AS INTEGER) AS pos FROM vals v JOIN size_limit l ON v.field = l.field WHERE n > max_chars
+"""
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(table(spark, d, "aiscript"), "rec_id", "full_text_content")
     return pairs.select(F.col("id_a").alias("rec_id_a"), F.col("id_b").alias("rec_id_b"))
@@ -112,6 +131,8 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_limits": p2_limits,
         "p2_report": p2_report,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p6_found": p6_found,
@@ -126,4 +147,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_SQL}
