@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import languages, near_duplicates, residue, scan_noise, shared_spans, splitting, truncation
+from quillspark.llm import containers, languages, mixing, near_duplicates, residue, scan_noise, shared_spans, splitting, tokens, truncation
 from quillspark.session import cut
 from quillspark.sources.tables import table
 
@@ -111,6 +111,40 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return records.join(found, "rec_id", "left_anti").select("rec_id", "source", "lang", F.col("document_info.title").alias("title"), "full_text_content")
 
 
+def _specs(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = table(spark, d, "container_spec").limit(1000).collect()  # one row for each kind of container
+    return {r["container"]: r["capacity_tokens"] for r in rows}
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill(_counted(spark, d), _specs(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers of each kind there are, and how full."""
+    specs = _specs(spark, d)
+    return containers.report(containers.fill(_counted(spark, d), specs), specs)
+
+
+def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
+    rows = table(spark, d, "mix_target").limit(10_000).collect()  # one row for each source
+    return {r["source"].strip().lower(): (r["target_share"], r["max_repeats"]) for r in rows}
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(_counted(spark, d), _targets(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source really reached."""
+    targets = _targets(spark, d)
+    return mixing.shares(cut(mixing.mix_sources(_counted(spark, d), targets)), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = shared_spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -140,6 +174,10 @@ def queries() -> dict[str, Query]:
         "p7_found": p7_found,
         "p7_residue": p7_residue,
         "p7_clean": p7_clean,
+        "p8_containers": p8_containers,
+        "p8_report": p8_report,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_passages": p10_passages,
         "p10_report": p10_report,
