@@ -3,9 +3,9 @@
 A text within the capacity is one item; a longer one is cut into full parts and a rest. The
 configuration linear program (a variable for each way to fill a container, a constraint for
 each item size) is solved over the histogram of sizes by multiplicative weights: each round
-prices sizes, finds the best filling by a knapsack dynamic program and lowers the prices of
-what it covers. The solution is rounded down to whole containers and the rest filled largest
-first; the plan is never worse than filling all largest first. A plan is run-length coded
+prices sizes, finds the best filling by a knapsack dynamic program and lowers the weights of
+what it covers. Rounds are taken in whole containers and the rest is filled largest first;
+the plan is never worse than filling all largest first. A plan is run-length coded
 (filling, repeats), so its size is bounded by the capacity, not by the number of texts, and
 so are the histogram that goes to the driver and the plan that comes back.
 
@@ -32,32 +32,32 @@ from pyspark.sql import functions as F
 from quillspark.session import cut
 
 SALTS = 64
-ROUNDS = 80
+ROUNDS = 200
+#: How steeply a size's weight grows with the part of its items that is left, and items of one size that a round's filling may hold.
+TILT, COPIES = 0.02, 2
+#: Prices grow a little faster than sizes, as large items are harder to place.
+POWER = 1.05
 
 Plan = list[tuple[dict[int, int], int]]
 
 
-def _best_filling(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The filling of largest price: unbounded knapsack over capacities."""
+def _best_filling(prices: np.ndarray, sizes: np.ndarray, copies: np.ndarray, capacity: int) -> dict[int, int]:
+    """The filling of largest price with at most ``copies`` items of each size: knapsack over capacities."""
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for c in range(int(sizes[0]), capacity + 1):
-        k = np.searchsorted(sizes, c, side="right")
-        value = best[c - sizes[:k]] + prices[:k]
-        j = int(value.argmax())
-        if value[j] > best[c - 1]:
-            best[c], pick[c] = value[j], j
-        else:
-            best[c] = best[c - 1]
+    things = np.repeat(np.arange(len(sizes)), copies)
+    taken = np.zeros((len(things), capacity + 1), dtype=bool)
+    for row, k in zip(taken, things):
+        s = sizes[k]
+        better = best[: capacity + 1 - s] + prices[k]
+        np.greater(better, best[s:], out=row[s:])
+        np.maximum(best[s:], better, out=best[s:])
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        s = int(sizes[pick[c]])
-        out[s] = out.get(s, 0) + 1
-        c -= s
+    for row, k in zip(taken[::-1], things[::-1]):
+        if row[c]:
+            s = int(sizes[k])
+            out[s] = out.get(s, 0) + 1
+            c -= s
     return out
 
 
@@ -88,33 +88,37 @@ def largest_first(counts: dict[int, int], capacity: int) -> Plan:
 
 
 def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
-    """Fillings and their repeats for ``counts`` items of each size, 1 to ``capacity``."""
+    """Fillings and their repeats for ``counts`` items of each size, 1 to ``capacity``.
+
+    Each round weighs a size by the exponential of the part of its items that is left, prices
+    an item by about its size times its weight, finds the best filling, and repeats it for an even
+    share of the containers that are still needed, or as often as half of the volume allows; a filling holds only as many items of a
+    size as there are for all its repeats, so the steps are whole as they are taken.
+    """
     counts = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
     greedy = largest_first(counts, capacity)
-    sizes = np.array(sorted(counts))
-    if len(sizes) < 2:
-        return greedy
-    n = np.array([counts[s] for s in sizes], dtype=np.float64)
-    at = {int(s): k for k, s in enumerate(sizes)}
-    weights = np.ones(len(sizes))
-    found: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = float((sizes * n).sum()) / capacity
-    for _ in range(rounds):
-        filling = _best_filling(weights / n * sizes.mean(), sizes, capacity)
-        key = tuple(sorted(filling.items()))
-        found[key] = found.get(key, 0.0) + bound / rounds
-        cover = np.array([filling.get(int(s), 0) for s in sizes]) / n * bound
-        weights *= np.exp(-0.35 * cover / max(cover.max(), 1e-9))
-        weights /= weights.max()
     left = dict(counts)
     plan: Plan = []
-    for key, x in sorted(found.items(), key=lambda kv: (-kv[1], kv[0])):
-        repeats = min(int(x), *(left[s] // k for s, k in key))
-        if repeats > 0:
-            plan.append((dict(key), repeats))
-            for s, k in key:
-                left[s] -= k * repeats
-    assert all(at[s] >= 0 for s in left)
+    for k in range(rounds):
+        need = sum(s * n for s, n in left.items()) / capacity
+        stock = sorted(((n, s * n) for s, n in left.items()), reverse=True)
+        volume = np.cumsum([v for _, v in stock])
+        common = stock[int(np.searchsorted(volume, volume[-1] / 2))][0] if stock else 0  # half of the volume has so many items of its size
+        repeats = min(int(np.ceil(need / (rounds - k))), common)
+        own = [s for s in sorted(left) if left[s] >= repeats > 0]
+        if need < 1 or not own:
+            break
+        sizes = np.array(own)
+        part = np.array([left[s] / counts[s] for s in own])
+        prices = (sizes / capacity) ** POWER * np.exp(TILT * (part - part.max()))
+        copies = np.minimum(np.minimum(np.array([left[s] // repeats for s in own]), capacity // sizes), COPIES)
+        filling = _best_filling(prices, sizes, copies, capacity)
+        repeats = min(left[s] // n for s, n in filling.items()) if repeats == 1 else repeats
+        plan.append((filling, repeats))
+        for s, n in filling.items():
+            left[s] -= n * repeats
+            if not left[s]:
+                del left[s]
     plan += largest_first(left, capacity)
     return min(plan, greedy, key=lambda p: sum(r for _, r in p))
 
