@@ -5,15 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.operators import shred
+from quillspark.functions import strings, urls
+from quillspark.operators import chunking, classify, crawl, html, jsonrepair, links, merge, report, shred
+from quillspark.plans import fixtures
+from quillspark.sources.fetch import lookup
+from quillspark.sources.files import inventory
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+SITE = "https://www.nadupura-acts.example"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.elements(shred.entity_tables(shred.adjacency(table(spark, d, "aiscript"))))
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 P5_SQL = """
@@ -37,9 +52,365 @@ UNION ALL SELECT rec_id, child, -1, CAST(pos AS INTEGER) FROM entities WHERE v I
 """
 
 
+@_query(P5_SQL)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return shred.elements(shred.entity_tables(shred.adjacency(table(spark, d, "aiscript"))))
+
+
+def _p5_table(name: str, columns: list[str]) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return shred.entity_tables(shred.adjacency(table(spark, d, "aiscript")))[name].select(*columns)
+
+    query.__name__ = f"p5_{name}"
+    return query
+
+
+_query("""WITH s AS (SELECT rec_id, generate_subscripts(detailed_sections, 1) - 1 AS pos, unnest(detailed_sections) AS s FROM aiscript)
+SELECT rec_id, 'detailed_sections[' || pos || ']' AS node, CAST(pos AS INTEGER) AS pos, s.section_title AS section_title, s.content AS content FROM s
+WHERE s.section_title IS NOT NULL OR s.content IS NOT NULL OR s.key_details IS NOT NULL""")(_p5_table("sections", ["rec_id", "node", "pos", "section_title", "content"]))
+_query("""WITH s AS (SELECT rec_id, generate_subscripts(detailed_sections, 1) - 1 AS pos, unnest(detailed_sections) AS s FROM aiscript),
+k AS (SELECT rec_id, pos AS parent_pos, generate_subscripts(s.key_details, 1) - 1 AS pos, unnest(s.key_details) AS value FROM s)
+SELECT rec_id, 'detailed_sections[' || parent_pos || ']' AS parent, CAST(pos AS INTEGER) AS pos, value FROM k WHERE value IS NOT NULL""")(_p5_table("key_details", ["rec_id", "parent", "pos", "value"]))
+_query("""WITH s AS (SELECT rec_id, generate_subscripts(penalties_and_consequences, 1) - 1 AS pos, unnest(penalties_and_consequences) AS p FROM aiscript)
+SELECT rec_id, CAST(pos AS INTEGER) AS pos, p.violation AS violation, p.penalty AS penalty, p.amount AS amount, p.conditions AS conditions FROM s
+WHERE p.violation IS NOT NULL OR p.penalty IS NOT NULL OR p.amount IS NOT NULL OR p.conditions IS NOT NULL""")(_p5_table("penalties", ["rec_id", "pos", "violation", "penalty", "amount", "conditions"]))
+_query("""WITH lists AS (
+  SELECT rec_id, 'people' AS kind, important_entities.people AS a FROM aiscript
+  UNION ALL SELECT rec_id, 'organizations', important_entities.organizations FROM aiscript
+  UNION ALL SELECT rec_id, 'locations', important_entities.locations FROM aiscript
+  UNION ALL SELECT rec_id, 'amounts', important_entities.amounts FROM aiscript
+  UNION ALL SELECT rec_id, 'dates', important_entities.dates FROM aiscript
+  UNION ALL SELECT rec_id, 'references', important_entities."references" FROM aiscript),
+e AS (SELECT rec_id, kind, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS value FROM lists)
+SELECT rec_id, kind, CAST(pos AS INTEGER) AS pos, value FROM e WHERE value IS NOT NULL""")(_p5_table("entities", ["rec_id", "kind", "pos", "value"]))
+
+
+# ---- links and URLs -------------------------------------------------------------------------
+
+_ALL_LINKS = """SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href
+FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1, 'is') AS h FROM {pages}) t"""
+
+
+@_query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM ({_ALL_LINKS.format(pages='page')}) l")
+def link_extract(spark: SparkSession, d: str) -> DataFrame:
+    return links.extract(table(spark, d, "page"))
+
+
+@_query(f"SELECT page_id, count(*) AS n_links, sum(CAST(contains(lower(href), 'pdf') AS BIGINT)) AS n_pdf FROM ({_ALL_LINKS.format(pages='page')}) l GROUP BY page_id")
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Links and PDF links of each page that has any."""
+    return links.extract(table(spark, d, "page")).groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if(links.is_pdf_link(F.col("href"))).alias("n_pdf"))
+
+
+@_query("""SELECT l.page_id, l.pos, l.href, CASE
+  WHEN href IS NULL THEN NULL WHEN href = '' THEN url WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
+  WHEN href LIKE '//%' THEN regexp_extract(url, '^[a-z]+:') || href
+  WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href
+  WHEN href LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || href
+  WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href
+  WHEN href LIKE '../%' THEN regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', ''), '([^/:])/[^/]+/$', '\\1/') || substr(href, 4)
+  ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS page_abs,
+  CASE WHEN href LIKE 'http%' THEN href ELSE 'https://www.nadupura-acts.example' || href END AS naive_abs
+FROM link l JOIN page p ON l.page_id = p.page_id""")
+def link_absolute(spark: SparkSession, d: str) -> DataFrame:
+    """Links seen from their page, and naively behind the site's address."""
+    own = table(spark, d, "link").join(table(spark, d, "page").select("page_id", "url"), "page_id")
+    href = F.col("href")
+    return own.select("page_id", "pos", "href", urls.resolve(F.col("url"), href).alias("page_abs"), urls.prefixed(SITE, href).alias("naive_abs"))
+
+
+@_query("SELECT page_id, pos, href, regexp_matches(lower(href), '\\.pdf([?#].*)?$') AND NOT regexp_matches(regexp_replace(lower(href), '[?#].*$', ''), '[^f]$') AS by_suffix FROM link WHERE contains(lower(href), 'pdf')")
+def pdf_link_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Links with ``pdf`` anywhere, and whether the path really ends in ``.pdf``."""
+    href = F.col("href")
+    return table(spark, d, "link").filter(links.is_pdf_link(href)).select("page_id", "pos", "href", links.is_pdf_link(href, "suffix").alias("by_suffix"))
+
+
+@_query(f"""WITH p AS ({fixtures.PAGES}), l AS ({_ALL_LINKS.format(pages='p')}), c AS (
+  SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'onclick="window.open\\(.([^)]*\\.pdf)', 1))) AS target FROM p WHERE html IS NOT NULL)
+SELECT page_id, href AS target FROM l WHERE contains(lower(href), 'pdf') UNION ALL SELECT page_id, target FROM c""")
+def onclick_links(spark: SparkSession, d: str) -> DataFrame:
+    """PDF links, then onclick targets that are not among them."""
+    pages = fixtures.make(spark, d, fixtures.PAGES)
+    return links.pdf_targets(pages, lambda url, h: h).select("page_id", "target")
+
+
+@_query(f"WITH p AS ({fixtures.PAGES}) SELECT page_id, unnest(regexp_extract_all(html, 'var u=\"([^\"]*\\.pdf)\"', 1)) AS target FROM p")
+def script_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.make(spark, d, fixtures.PAGES)
+    return pages.select("page_id", F.explode(links.script_targets(F.col("html"))).alias("target"))
+
+
+@_query("""SELECT abs_url, min(page_id) AS page_id, CAST(min_by(pos, page_id * 1000000 + pos) AS INTEGER) AS pos, count(*) AS n_seen FROM link WHERE abs_url IS NOT NULL GROUP BY abs_url""")
+def link_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Each address once, where it was seen first."""
+    return links.first_seen(table(spark, d, "link"), "abs_url", ["page_id", "pos"])
+
+
+@_query("""WITH n AS (SELECT page_id, pos, abs_url, regexp_extract(regexp_replace(regexp_replace(regexp_replace(abs_url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//[^/]*', ''), '[^/]*$') AS base FROM link WHERE abs_url IS NOT NULL)
+SELECT page_id, pos, base AS base_name, CASE WHEN base LIKE '%.pdf' THEN base ELSE 'document_' || (pos + 1) || '.pdf' END AS saved_name,
+  CASE WHEN lower(base) LIKE '%.pdf' THEN base ELSE 'document_' || (pos + 1) || '.pdf' END AS saved_any_case,
+  url_decode(regexp_extract(abs_url, '[^/]*$')) AS unquoted, regexp_replace(base, '[<>:"/\\\\|?*]', '_', 'g') AS safe_name FROM n""")
+def filename_from_url(spark: SparkSession, d: str) -> DataFrame:
+    u, pos = F.col("abs_url"), F.col("pos")
+    return table(spark, d, "link").filter(u.isNotNull()).select(
+        "page_id", "pos", urls.base_name(u).alias("base_name"), urls.saved_name(u, pos).alias("saved_name"), urls.saved_name(u, pos, True).alias("saved_any_case"), urls.unquoted_name(u).alias("unquoted"), urls.safe_name(urls.base_name(u)).alias("safe_name")
+    )
+
+
+@_query("""SELECT act_title, left(regexp_replace(regexp_replace(act_title, '[\\\\/*?:"<>|]', '', 'g'), '\\s+', '_', 'g'), 150) || '.pdf' AS saved_name FROM (SELECT act_title FROM view_log UNION ALL SELECT document_info.title FROM aiscript) t""")
+def sanitize_title(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "view_log").select("act_title").unionAll(table(spark, d, "aiscript").select(F.col("document_info.title").alias("act_title")))
+    return titles.select("act_title", strings.squeeze_name(F.col("act_title")).alias("saved_name"))
+
+
+_CLASSIFIED = f"""WITH x AS ({fixtures.DETAILS}) SELECT page_id, act_title, act_url,
+  CASE page_id % 5 WHEN 0 THEN 'Direct PDF' WHEN 1 THEN 'Google Drive' WHEN 2 THEN 'Scribd Viewer' WHEN 3 THEN 'Scribd Viewer' ELSE 'Not Found' END AS link_type,
+  CASE page_id % 5 WHEN 0 THEN '{SITE}' || regexp_extract(html, 'href="([^"]*)"', 1) WHEN 1 THEN regexp_extract(html, 'src="([^"]*)"', 1) END AS source_url,
+  CASE page_id % 5 WHEN 0 THEN '{SITE}' || regexp_extract(html, 'href="([^"]*)"', 1) WHEN 1 THEN 'https://drive.google.com/uc?export=download&id=' || regexp_extract(html, '/d/([a-zA-Z0-9_-]+)', 1) END AS download_url,
+  CASE WHEN page_id % 5 IN (2, 3) THEN regexp_extract(html, 'scribd_iframe_embed" src="([^"]*)"', 1) WHEN page_id % 5 = 4 THEN 'N/A' END AS viewer_url FROM x"""
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return classify.classify(fixtures.make(spark, d, fixtures.DETAILS), SITE)
+
+
+@_query(f"SELECT page_id, link_type, source_url, download_url, viewer_url FROM ({_CLASSIFIED}) c")
+def link_classify(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("page_id", "link_type", "source_url", "download_url", "viewer_url")
+
+
+@_query(f"SELECT act_title, act_url AS page_url, link_type, viewer_url FROM ({_CLASSIFIED}) c WHERE link_type IN ('Scribd Viewer', 'Not Found')")
+def act_view_log(spark: SparkSession, d: str) -> DataFrame:
+    return classify.view_rows(_classified(spark, d))
+
+
+@_query(f"""SELECT act_title, regexp_replace(regexp_replace(act_title, '[\\\\/*?:"<>|]', '', 'g'), '\\s+', '_', 'g') || '.pdf' AS saved_filename, source_url FROM ({_CLASSIFIED}) c WHERE link_type IN ('Direct PDF', 'Google Drive')""")
+def act_download_log(spark: SparkSession, d: str) -> DataFrame:
+    return classify.download_rows(_classified(spark, d))
+
+
+@_query("SELECT l.page_id, l.pos, l.abs_url, length(p.html) AS html_chars FROM link l JOIN page p ON l.abs_url = p.url")
+def detail_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Listing links with the page they lead to; links to pages that are not there are dropped."""
+    found = lookup(table(spark, d, "link").select("page_id", "pos", "abs_url"), table(spark, d, "page"), "abs_url")
+    return found.select("page_id", "pos", "abs_url", F.length("html").alias("html_chars"))
+
+
+@_query("SELECT split_part(split_part(abs_url, '://', 2), '/', 1) AS host, count(*) AS n_links, sum(CAST(contains(lower(href), 'pdf') AS BIGINT)) AS n_pdf FROM link WHERE abs_url LIKE 'http%' GROUP BY 1")
+def host_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Links and PDF links by host."""
+    host = F.regexp_extract("abs_url", r"^[a-z]+://([^/]*)", 1)
+    return table(spark, d, "link").filter(F.col("abs_url").startswith("http")).groupBy(host.alias("host")).agg(F.count("*").alias("n_links"), F.sum(links.is_pdf_link(F.col("href")).cast("bigint")).alias("n_pdf"))
+
+
+# ---- listing pages --------------------------------------------------------------------------
+
+
+@_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/handle/' || page_id AS href FROM x WHERE html IS NOT NULL")
+def table_row_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.make(spark, d, fixtures.LISTING)
+    return pages.select("page_id", F.explode(html.panel_links(F.col("html"))).alias("href"))
+
+
+@_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/bare-acts/' || page_id AS href, 'The Water & Land Act' AS text FROM x WHERE html IS NOT NULL")
+def container_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.make(spark, d, fixtures.LISTING)
+    return pages.select("page_id", F.inline(html.anchors(html.container(F.col("html"), "ul", "act_child_list"))))
+
+
+@_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/browse?p=' || (page_id % 7) AS href FROM x WHERE page_id % 7 > 1")
+def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.make(spark, d, fixtures.LISTING)
+    return pages.select("page_id", F.explode(html.numbered_pages(F.col("html"))).alias("href"))
+
+
+@_query(f"""WITH RECURSIVE x AS ({fixtures.LISTING}), e AS (SELECT url, nullif(regexp_extract(html, 'title="Next Page" href="([^"]*)"', 1), '') AS next FROM x),
+c AS (SELECT url AS start, url, 0 AS depth FROM e UNION ALL SELECT start, e.next, depth + 1 FROM c JOIN e ON c.url = e.url WHERE e.next IS NOT NULL AND depth < 20)
+SELECT start, url, depth FROM c""")
+def next_page_closure(spark: SparkSession, d: str) -> DataFrame:
+    pages = fixtures.make(spark, d, fixtures.LISTING).select("url", html.next_page(F.col("html")).alias("next"))
+    return crawl.next_page_closure(pages, pages.select("url"), 20)
+
+
+@_query("""WITH n AS (SELECT page_id, url, unnest([2, 3, 4, 5]) AS n FROM page)
+SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?' || CASE WHEN contains(url, '?') AND regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN regexp_extract(url, '\\?([^#]*)', 1) || '&' ELSE '' END || 'page=' || n AS page_url FROM n
+UNION ALL SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/page/' || n FROM n""")
+def pagination_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page").select("page_id", F.explode(urls.page_urls(F.col("url"), F.lit(7))).alias("page_url"))
+
+
+@_query()
+def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A breadth-first crawl over the link table, 50 pages at most, three new links from each."""
+    pages = table(spark, d, "page").select("page_id", "url")
+    own = table(spark, d, "link").join(pages, "page_id").select("url", "pos", F.col("abs_url").alias("target"))
+    return crawl.bounded_crawl(own, pages.filter("page_id = 1"), 50)
+
+
+# ---- chunks ---------------------------------------------------------------------------------
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_CHUNKS_SQL = f"""WITH d AS ({fixtures.CHUNKS}), f AS (SELECT doc_id, list_reduce(
+  list_transform(string_split(text, chr(10) || chr(10)), lambda p: {{done: CAST([] AS VARCHAR[]), cur: p}}),
+  lambda a, p: CASE
+    WHEN length(a.cur) + length(p.cur) + 2 <= 2000 THEN {{done: a.done, cur: a.cur || p.cur || chr(10) || chr(10)}}
+    WHEN a.cur <> '' THEN {{done: list_append(a.done, {_STRIP.format("a.cur")}), cur: p.cur}}
+    ELSE list_reduce(list_transform(string_split(p.cur, '. '), lambda s: {{done: CAST([] AS VARCHAR[]), cur: s}}),
+      lambda b, s: CASE
+        WHEN length(b.cur) + length(s.cur) + 2 <= 2000 THEN {{done: b.done, cur: b.cur || s.cur || '. '}}
+        WHEN b.cur <> '' THEN {{done: list_append(b.done, {_STRIP.format("b.cur")}), cur: s.cur}}
+        ELSE {{done: list_append(b.done, left(s.cur, 2000)), cur: ''}} END, {{done: a.done, cur: ''}}) END,
+  {{done: CAST([] AS VARCHAR[]), cur: ''}}) AS r FROM d WHERE length(text) > 2000),
+c AS (SELECT doc_id, CASE WHEN {_STRIP.format("r.cur")} <> '' THEN list_append(r.done, {_STRIP.format("r.cur")}) ELSE r.done END AS chunks FROM f
+  UNION ALL SELECT doc_id, [text] FROM d WHERE length(text) <= 2000)
+SELECT doc_id, CAST(generate_subscripts(chunks, 1) AS INTEGER) AS chunk_no, CAST(len(chunks) AS INTEGER) AS n_chunks, unnest(chunks) AS chunk FROM c"""
+
+
+@_query(_CHUNKS_SQL)
+def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_rows(fixtures.make(spark, d, fixtures.CHUNKS))
+
+
+@_query("SELECT doc_id, CAST(1 AS INTEGER) AS n_chunks, text AS chunk FROM documents WHERE length(text) <= 2000")
+def chunk_passthrough(spark: SparkSession, d: str) -> DataFrame:
+    """Texts within the limit, one chunk each."""
+    made = chunking.chunk_rows(table(spark, d, "documents").withColumn("max_chars", F.lit(2000)).filter(F.length("text") <= 2000))
+    return made.select("doc_id", "n_chunks", "chunk")
+
+
+@_query()
+def chunk_truncate(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without any boundary that are too long, cut and marked."""
+    solid = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n+|\. ", " ").alias("text"))
+    return solid.select("doc_id", chunking.truncated(F.col("text"), F.lit(2000)).alias("text")).filter("text is not null")
+
+
+@_query(f"""SELECT doc_id, chunk_no, n_chunks, CAST(19 + CASE WHEN n_chunks > 1 THEN 36 + length(CAST(chunk_no AS VARCHAR)) + length(CAST(n_chunks AS VARCHAR)) ELSE 0 END + 20 + length(chunk) AS INTEGER) AS prompt_chars FROM ({_CHUNKS_SQL}) q""")
+def chunk_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of all chunks: their number and length."""
+    made = chunking.prompts(chunking.chunk_rows(fixtures.make(spark, d, fixtures.CHUNKS)), "Extract the record.")
+    return made.select("doc_id", "chunk_no", "n_chunks", F.length("prompt").alias("prompt_chars"))
+
+
+# ---- replies --------------------------------------------------------------------------------
+
+
+@_query("""SELECT doc_id, chunk_no, regexp_replace(regexp_replace(trim(response_text, ' ' || chr(10)), '^```(json)?\\s*', ''), '\\s*```$', '') AS bare FROM model_response""")
+def json_fence_strip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "model_response").select("doc_id", "chunk_no", jsonrepair.strip_fences(F.col("response_text")).alias("bare"))
+
+
+@_query(f"""WITH x AS ({fixtures.REPLIES}) SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 6) THEN 'parsed' WHEN doc_id % 7 IN (2, 3) THEN 'repaired' WHEN doc_id % 7 = 4 THEN 'fallback' ELSE 'not_object' END AS status,
+  'direct_upload' || CASE WHEN doc_id % 7 IN (2, 3) THEN '_repaired' WHEN doc_id % 7 = 4 THEN '_fallback' ELSE '' END AS method_resolved FROM x""")
+def json_parse_class(spark: SparkSession, d: str) -> DataFrame:
+    return jsonrepair.parse_replies(fixtures.make(spark, d, fixtures.REPLIES)).select("doc_id", "status", "method_resolved")
+
+
+@_query(f"WITH x AS ({fixtures.REPLIES}) SELECT doc_id, 'T' || doc_id AS title, 's' || doc_id AS summary, 'f' || doc_id AS full_text FROM x WHERE doc_id % 7 IN (2, 3)")
+def json_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """What repair gets out of replies with prose around the object or trailing commas."""
+    got = jsonrepair.typed(jsonrepair.parse_replies(fixtures.make(spark, d, fixtures.REPLIES))).filter("status = 'repaired'")
+    return got.select("doc_id", F.col("record.document_info.title").alias("title"), F.col("record.main_content.summary").alias("summary"), F.col("record.full_text_content").alias("full_text"))
+
+
+@_query(f"""WITH x AS ({fixtures.REPLIES}) SELECT doc_id, 'Raw Content - JSON Parse Failed' AS title, 'N/A' AS authority, 'JSON parsing failed: No JSON structure found. Raw response content is provided in full_text_content.' AS summary, response_text AS full_text FROM x WHERE doc_id % 7 = 4""")
+def json_fallback_record(spark: SparkSession, d: str) -> DataFrame:
+    got = jsonrepair.typed(jsonrepair.parse_replies(fixtures.make(spark, d, fixtures.REPLIES))).filter("status = 'fallback'")
+    return got.select("doc_id", F.col("record.document_info.title").alias("title"), F.col("record.document_info.authority").alias("authority"), F.col("record.main_content.summary").alias("summary"), F.col("record.full_text_content").alias("full_text"))
+
+
+@_query()
+def reply_status(spark: SparkSession, d: str) -> DataFrame:
+    """How the replies of the model were read, by method."""
+    parsed = jsonrepair.typed(jsonrepair.parse_replies(table(spark, d, "model_response")))
+    return parsed.groupBy("method", "status", "is_error").agg(F.count("*").alias("n_replies"))
+
+
+_CHUNK_VALUES = f"""SELECT doc_id, file_id, chunk_no, doc_id % 7 IN (5, 6) AS is_error, doc_id % 7 = 4 AS fell FROM ({fixtures.REPLIES}) r"""
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    typed = jsonrepair.typed(jsonrepair.parse_replies(fixtures.make(spark, d, fixtures.REPLIES)))
+    return merge.merge_chunks(typed, "file_id", "chunk_no")
+
+
+@_query(f"""WITH v AS ({_CHUNK_VALUES}), u AS (SELECT file_id, chunk_no, is_error,
+  CASE WHEN fell THEN 'Raw Content - JSON Parse Failed' ELSE 'T' || doc_id END AS title,
+  CASE WHEN fell THEN 'Content extraction encountered JSON parsing issues' ELSE 'p' || (doc_id % 3) END AS purpose,
+  CASE WHEN fell THEN 'JSON parsing failed: No JSON structure found. Raw response content is provided in full_text_content.' ELSE 's' || doc_id END AS summary,
+  CASE WHEN fell THEN 'no structure at all' ELSE 'f' || doc_id END AS body FROM v)
+SELECT file_id, min_by(title, chunk_no) FILTER (WHERE NOT is_error) AS title, coalesce(min_by(purpose, chunk_no) FILTER (WHERE NOT is_error), '') AS purpose,
+  coalesce(string_agg(' ' || summary, '' ORDER BY chunk_no) FILTER (WHERE NOT is_error), '') AS summary,
+  coalesce(string_agg(chr(10) || chr(10) || body, '' ORDER BY chunk_no) FILTER (WHERE NOT is_error), '') AS full_text, CAST(count(*) AS INTEGER) AS total_chunks FROM u GROUP BY file_id""")
+def merge_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("file_id", F.col("document_info.title").alias("title"), F.col("main_content.purpose").alias("purpose"), F.col("main_content.summary").alias("summary"), F.col("full_text_content").alias("full_text"), "total_chunks")
+
+
+@_query(f"""WITH v AS ({_CHUNK_VALUES}) SELECT file_id, coalesce(string_agg('a' || doc_id, '|' ORDER BY chunk_no) FILTER (WHERE NOT is_error AND NOT fell), '') AS action_items FROM v GROUP BY file_id""")
+def merge_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("file_id", F.array_join("action_items", "|").alias("action_items"))
+
+
+@_query(f"""WITH v AS ({_CHUNK_VALUES}), n AS (SELECT DISTINCT file_id, 'n' || (doc_id % 5) AS person FROM v WHERE NOT is_error AND NOT fell), f AS (SELECT DISTINCT file_id FROM v)
+SELECT f.file_id, coalesce(string_agg(person, '|' ORDER BY person), '') AS people FROM f LEFT JOIN n ON f.file_id = n.file_id GROUP BY f.file_id""")
+def merge_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).select("file_id", F.array_join("important_entities.people", "|").alias("people"))
+
+
+@_query()
+def merge_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The merged record of every document with replies, flattened to scalars; repeated replies count once."""
+    replies = table(spark, d, "model_response").dropDuplicates(["doc_id", "chunk_no", "method", "response_text"])
+    m = merge.merge_chunks(jsonrepair.typed(jsonrepair.parse_replies(replies)))
+    return m.select("doc_id", F.col("document_info.title").alias("title"), F.array_join("important_entities.people", "|").alias("people"), F.array_join("important_entities.references", "|").alias("references"), F.size("penalties_and_consequences").alias("n_penalties"), "total_chunks")
+
+
+# ---- runs, files, logs ----------------------------------------------------------------------
+
+
+@_query("""SELECT coalesce(lower(trim(source)), '') AS source, count(*) AS total_files, count(*) AS processed_successfully, CAST(0 AS BIGINT) AS failed, count(error) AS n_error_records FROM aiscript GROUP BY 1""")
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the run by source."""
+    records = table(spark, d, "aiscript").withColumn("source", F.coalesce(F.lower(F.trim("source")), F.lit("")))
+    return report.run_summary(report.statuses(records, ("source",)), ("source",))
+
+
+@_query("""SELECT rec_id, coalesce(source_file, file) AS file, coalesce(processing_method, 'unknown') AS method, regexp_replace(coalesce(source_file, file), '(.)\\.[^.]+$', '\\1') || '_extracted.json' AS output,
+  CASE WHEN main_content.summary <> '' THEN left(main_content.summary, 200) || '...' END AS preview FROM aiscript""")
+def run_details(spark: SparkSession, d: str) -> DataFrame:
+    return report.statuses(table(spark, d, "aiscript"), ("rec_id",)).select("rec_id", "file", "method", "output", "preview")
+
+
+@_query("""SELECT path, regexp_extract(path, '[^/]*$') AS file_name, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]+$', '\\1') AS file_stem, length, coalesce(hex(content)[1:10] = '255044462D', false) AS is_pdf FROM file_inventory""")
+def binary_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return inventory(table(spark, d, "file_inventory")).select("path", "file_name", "file_stem", "length", "is_pdf")
+
+
+@_query("""SELECT saved_filename, count(DISTINCT source_url) AS n_sources, count(*) AS n_rows FROM download_log GROUP BY 1 HAVING count(DISTINCT source_url) > 1 OR count(*) > 1""")
+def name_collisions(spark: SparkSession, d: str) -> DataFrame:
+    return report.name_collisions(table(spark, d, "download_log"))
+
+
+@_query("""WITH t AS (SELECT DISTINCT document_info.title AS act_title FROM aiscript WHERE document_info.title IS NOT NULL)
+SELECT act_title, act_title IN (SELECT act_title FROM view_log WHERE act_title IS NOT NULL) AS in_view, act_title IN (SELECT act_title FROM download_log WHERE act_title IS NOT NULL) AS in_download FROM t""")
+def act_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Acts by the log that knows them; in neither are those that could not be fetched."""
+    acts = table(spark, d, "aiscript").select(F.col("document_info.title").alias("act_title")).filter("act_title is not null")
+    return report.reconcile(acts, table(spark, d, "view_log").filter("act_title is not null"), table(spark, d, "download_log").filter("act_title is not null"))
+
+
+@_query("""SELECT a.rec_id, a.source_file, f.length, f.n_copies FROM aiscript a JOIN (SELECT regexp_extract(path, '[^/]*$') AS file_name, max(length) AS length, count(*) AS n_copies FROM file_inventory GROUP BY 1) f ON regexp_extract(a.source_file, '[^/]*$') = f.file_name""")
+def file_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the size of their file."""
+    files = inventory(table(spark, d, "file_inventory")).groupBy("file_name").agg(F.max("length").alias("length"), F.count("*").alias("n_copies"))
+    records = table(spark, d, "aiscript").select("rec_id", "source_file", F.substring_index("source_file", "/", -1).alias("file_name"))
+    return records.join(files, "file_name").select("rec_id", "source_file", "length", "n_copies")
+
+
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return dict(_SQL)
