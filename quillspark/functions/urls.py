@@ -114,9 +114,9 @@ def page_urls(url: Column, max_pages: Column) -> Column:
 
 def clamp_pages(text: Column) -> Column:
     """A page budget between 1 and 20; 5 where it is no number."""
-    return F.coalesce(F.greatest(F.least(text.try_cast("int"), F.lit(20)), F.lit(1)), F.lit(5))
+    return F.greatest(F.least(F.coalesce(text.try_cast("int"), F.lit(5)), F.lit(20)), F.lit(1))
 
 
 def clamp_delay(text: Column) -> Column:
     """A delay of a second at least; 2 where it is no number."""
-    return F.coalesce(F.greatest(text.try_cast("double"), F.lit(1.0)), F.lit(2.0))
+    return F.greatest(F.coalesce(text.try_cast("double"), F.lit(2.0)), F.lit(1.0))

@@ -51,5 +51,10 @@ PAGINATION_MARKS = ("pagination", "pager", "page-numbers", "next", "Next", "»",
 def pagination_links(html: Column) -> Column:
     """Links that page on: marked anchors by priority, then numbered ones; each once."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
-    marked = [F.filter(F.transform(F.filter(tags, lambda a, m=m: F.contains(a, F.lit(m))), lambda a: F.regexp_extract(a, ANCHOR, 1)), lambda h: h != "") for m in PAGINATION_MARKS]
+
+    def marked_by(mark: str) -> Column:
+        own = F.filter(tags, lambda a: F.contains(a, F.lit(mark)))
+        return F.filter(F.transform(own, lambda a: F.regexp_extract(a, ANCHOR, 1)), lambda h: h != "")
+
+    marked = [marked_by(m) for m in PAGINATION_MARKS]
     return F.array_distinct(F.concat(*marked, numbered_pages(html)))

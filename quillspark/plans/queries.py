@@ -283,7 +283,7 @@ def chunk_passthrough(spark: SparkSession, d: str) -> DataFrame:
 def chunk_truncate(spark: SparkSession, d: str) -> DataFrame:
     """Texts without any boundary that are too long, cut and marked."""
     solid = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n+|\. ", " ").alias("text"))
-    return solid.select("doc_id", chunking.truncated(F.col("text"), F.lit(2000)).alias("text")).filter("text is not null")
+    return solid.select("doc_id", chunking.truncated(F.col("text"), F.lit(1000)).alias("text")).filter("text is not null")
 
 
 @_query(f"""SELECT doc_id, chunk_no, n_chunks, CAST(19 + CASE WHEN n_chunks > 1 THEN 36 + length(CAST(chunk_no AS VARCHAR)) + length(CAST(n_chunks AS VARCHAR)) ELSE 0 END + 20 + length(chunk) AS INTEGER) AS prompt_chars FROM ({_CHUNKS_SQL}) q""")
