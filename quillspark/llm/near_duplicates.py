@@ -6,6 +6,7 @@ most 1/threshold < 2, a set whose size reaches into the next band signs there to
 the feature domain (the hash range) is partitioned into parts, and the subsets of parts that
 are enumerated as signatures are
 
+* for sets under 24 features (texts that repeat themselves): every feature;
 * for sets under 128 features: two first-level halves of 16 parts, all pairs of parts in a half;
 * for larger sets: single parts, of four to nine features each by design.
 
@@ -38,6 +39,8 @@ from quillspark.session import cut, spread
 
 SHINGLE = 3
 HALF = 16
+#: Sets up to this size sign every feature.
+TINY = 24
 _P, _Q = (np.concatenate([x, x + HALF]) for x in np.triu_indices(HALF, 1))
 
 _SIGNED = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
@@ -56,6 +59,11 @@ def signatures(features: np.ndarray, own: np.ndarray, n: int, threshold: float)
     some = size > 0
     band[some] = np.floor(np.log2(size[some])).astype(np.int64)
     out, whose = [], []
+    # two sets of which one has under TINY features share a feature: each is a signature
+    tiny = size[own] * threshold < TINY
+    out.append(mix(features[tiny] + U(0x8EBC6AF09C88C6E3)))
+    whose.append(own[tiny])
+    some &= size >= TINY * threshold
     for up in (0, 1):
         for b in np.unique(band[some] + up) if some.any() else []:
             sets = np.flatnonzero(some & (band + up == b) & ((up == 0) | (size >= threshold * 2.0**b)))
@@ -91,8 +99,6 @@ def signatures(features: np.ndarray, own: np.ndarray, n: int, threshold: float)
                 h = mix(total[keep] * U(0xA0761D6478BD642F) + (cell[keep] % parts).astype(U) * U(0x8EBC6AF09C88C6E3) + U(b))
                 out.append(h)
                 whose.append(sets[cell[keep] // parts])
-    if not out:
-        return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(whose)
 
 
