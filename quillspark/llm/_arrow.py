@@ -11,17 +11,13 @@ from pyspark.sql import DataFrame
 BLOCK_CHARS = 600_000
 
 
-def _small_offsets(batch: pa.RecordBatch) -> list[list]:
-    return [c.to_pylist() for c in batch.columns]
-
-
 def blocks(batches: Iterable[pa.RecordBatch], text: int, limit: int = BLOCK_CHARS) -> Iterator[list[list]]:
     """Column lists of whole rows, at most about ``limit`` characters of column ``text`` together.
 
     A text longer than the limit is a block of its own; none is cut.
     """
     for batch in batches:
-        columns = _small_offsets(batch)
+        columns = [c.to_pylist() for c in batch.columns]
         start, used = 0, 0
         for i, t in enumerate(columns[text]):
             n = len(t) if t is not None else 0
@@ -33,12 +29,30 @@ def blocks(batches: Iterable[pa.RecordBatch], text: int, limit: int = BLOCK_CHAR
             yield [c[start:] for c in columns]
 
 
-def map_blocks(df: DataFrame, text: str, kernel: Callable[..., list], schema: str, arrow: pa.Schema) -> DataFrame:
-    """``kernel(*column_lists)`` over blocks of rows; it returns arrays in the order of ``schema``."""
+#: Keys that a task remembers to leave out repetitions; beyond it they may come again.
+REMEMBERED = 200_000
+
+
+def map_blocks(df: DataFrame, text: str, kernel: Callable[..., list], schema: str, arrow: pa.Schema, once: str | None = None) -> DataFrame:
+    """``kernel(*column_lists)`` over blocks of rows; it returns arrays in the order of ``schema``.
+
+    With ``once`` rows whose value of that column the task has had already are left out, which
+    combines copies before a shuffle.
+    """
     at = df.columns.index(text)
+    key = df.columns.index(once) if once else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set = set()
         for columns in blocks(batches, at):
+            if key is not None:
+                if len(had) > REMEMBERED:
+                    had.clear()
+                new = [k for k, v in enumerate(columns[key]) if not (v in had or had.add(v))]
+                if len(new) < len(columns[key]):
+                    columns = [[c[k] for k in new] for c in columns]
+                if not new:
+                    continue
             out = kernel(*columns)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)], schema=arrow)
 

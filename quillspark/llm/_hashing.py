@@ -38,8 +38,34 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+#: Characters that are hashed at a time.
+SEGMENT = 2_000_000
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each white-space separated word of ``texts``, and the index of its text."""
+    """The hash of each white-space separated word of ``texts``, and the index of its text.
+
+    Texts longer than ``SEGMENT`` are read in segments that end at white space.
+    """
+    if any(len(t) > SEGMENT for t in texts):
+        parts, whose = [], []
+        for k, t in enumerate(texts):
+            at = 0
+            while at < len(t) or not t:
+                stop = at + SEGMENT
+                while stop < len(t) and not t[stop].isspace():
+                    stop += 1
+                parts.append(t[at:stop])
+                whose.append(k)
+                at = stop
+                if not t:
+                    break
+        found = [_words([p]) for p in parts]
+        return np.concatenate([h for h, _ in found]), np.concatenate([np.full(len(h), k) for (h, _), k in zip(found, whose)])
+    return _words(texts)
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = codes("\n".join(texts) + "\n")
     n = len(c)
     space = np.zeros(n, dtype=bool)

@@ -115,7 +115,7 @@ def _sign(base: DataFrame, min_words: int, threshold: float) -> DataFrame:
         size = np.bincount(own, minlength=len(texts)).astype(np.int32)
         return [pa.array(sig.view(np.int64)), pa.array(np.array(digests, dtype=np.int64)[whose]), pa.array(size[whose])]
 
-    return map_blocks(base.select("digest", "text"), "text", kernel, "bucket bigint, id bigint, size int", _SIGNED)
+    return map_blocks(base.select("digest", "text"), "text", kernel, "bucket bigint, id bigint, size int", _SIGNED, once="digest")
 
 
 def _feature_sets(base: DataFrame) -> DataFrame:

@@ -68,3 +68,12 @@ def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.root for r in N.components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_words_in_segments(monkeypatch):
+    from quillspark.llm import _hashing as H
+
+    texts = ["one two\u3000three", "", "  lead and trail ", "x" * 50 + " y"]
+    whole = [x.tolist() for x in H.words(texts)]
+    monkeypatch.setattr(H, "SEGMENT", 5)
+    assert [x.tolist() for x in H.words(texts)] == whole
