@@ -99,6 +99,7 @@ def solve(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Plan:
     greedy = largest_first(counts, capacity)
     left = dict(counts)
     plan: Plan = []
+    rounds = max(rounds // 4, rounds * 1024 // capacity)  # a round costs sizes times capacity
     for k in range(rounds):
         need = sum(s * n for s, n in left.items()) / capacity
         stock = sorted(((n, s * n) for s, n in left.items()), reverse=True)
