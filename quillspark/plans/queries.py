@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import strings, urls
-from quillspark.operators import chunking, classify, crawl, html, jsonrepair, links, merge, report, shred
+from quillspark.operators import chunking, classify, crawl, html, jsonrepair, links, merge, pipeline, report, shred
 from quillspark.plans import fixtures
 from quillspark.sources.fetch import lookup
 from quillspark.sources.files import inventory
@@ -250,8 +250,13 @@ def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- chunks ---------------------------------------------------------------------------------
 
+
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_CHUNKS_SQL = f"""WITH d AS ({fixtures.CHUNKS}), f AS (SELECT doc_id, list_reduce(
+
+
+def _folded(source: str) -> str:
+    """SQL of the chunk lists of the texts of ``source``, as ``c``."""
+    return f"""d AS ({source}), f AS (SELECT doc_id, text, list_reduce(
   list_transform(string_split(text, chr(10) || chr(10)), lambda p: {{done: CAST([] AS VARCHAR[]), cur: p}}),
   lambda a, p: CASE
     WHEN length(a.cur) + length(p.cur) + 2 <= 2000 THEN {{done: a.done, cur: a.cur || p.cur || chr(10) || chr(10)}}
@@ -262,8 +267,11 @@ _CHUNKS_SQL = f"""WITH d AS ({fixtures.CHUNKS}), f AS (SELECT doc_id, list_reduc
         WHEN b.cur <> '' THEN {{done: list_append(b.done, {_STRIP.format("b.cur")}), cur: s.cur}}
         ELSE {{done: list_append(b.done, left(s.cur, 2000)), cur: ''}} END, {{done: a.done, cur: ''}}) END,
   {{done: CAST([] AS VARCHAR[]), cur: ''}}) AS r FROM d WHERE length(text) > 2000),
-c AS (SELECT doc_id, CASE WHEN {_STRIP.format("r.cur")} <> '' THEN list_append(r.done, {_STRIP.format("r.cur")}) ELSE r.done END AS chunks FROM f
-  UNION ALL SELECT doc_id, [text] FROM d WHERE length(text) <= 2000)
+c AS (SELECT doc_id, text, CASE WHEN {_STRIP.format("r.cur")} <> '' THEN list_append(r.done, {_STRIP.format("r.cur")}) ELSE r.done END AS chunks FROM f
+  UNION ALL SELECT doc_id, text, [text] FROM d WHERE length(text) <= 2000)"""
+
+
+_CHUNKS_SQL = f"""WITH {_folded(fixtures.CHUNKS)}
 SELECT doc_id, CAST(generate_subscripts(chunks, 1) AS INTEGER) AS chunk_no, CAST(len(chunks) AS INTEGER) AS n_chunks, unnest(chunks) AS chunk FROM c"""
 
 
@@ -272,13 +280,6 @@ def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_rows(fixtures.make(spark, d, fixtures.CHUNKS))
 
 
-@_query("SELECT doc_id, CAST(1 AS INTEGER) AS n_chunks, text AS chunk FROM documents WHERE length(text) <= 2000")
-def chunk_passthrough(spark: SparkSession, d: str) -> DataFrame:
-    """Texts within the limit, one chunk each."""
-    made = chunking.chunk_rows(table(spark, d, "documents").withColumn("max_chars", F.lit(2000)).filter(F.length("text") <= 2000))
-    return made.select("doc_id", "n_chunks", "chunk")
-
-
 @_query()
 def chunk_truncate(spark: SparkSession, d: str) -> DataFrame:
     """Texts without any boundary that are too long, cut and marked."""
@@ -366,6 +367,16 @@ def merge_responses(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", F.col("document_info.title").alias("title"), F.array_join("important_entities.people", "|").alias("people"), F.array_join("important_entities.references", "|").alias("references"), F.size("penalties_and_consequences").alias("n_penalties"), "total_chunks")
 
 
+@_query(f"""WITH {_folded("SELECT doc_id, coalesce(text, '') AS text FROM documents")}
+SELECT doc_id, CASE WHEN length(text) <= 2000 THEN 'text_extraction' WHEN len(chunks) <= 1 THEN 'text_truncated' ELSE 'multi_chunk' END AS method, NULL AS error, CAST(greatest(len(chunks), 1) AS INTEGER) AS total_chunks,
+  CAST(CASE WHEN length(text) > 2000 AND len(chunks) <= 1 THEN 2002 + {len(chunking.TRUNCATED)} ELSE list_sum(list_transform(chunks, lambda x: CASE WHEN x = '' THEN 0 ELSE length(x) + 2 END)) END AS INTEGER) AS text_chars FROM c WHERE text <> ''
+UNION ALL SELECT doc_id, NULL, 'no text', NULL, NULL FROM documents WHERE coalesce(text, '') = ''""")
+def extract_all(spark: SparkSession, d: str) -> DataFrame:
+    """The run over all documents with the offline model, long ones by chunks."""
+    done = pipeline.run(table(spark, d, "documents"), pipeline.Settings(max_chars=2000))
+    return done.select("doc_id", F.col("method_resolved").alias("method"), "error", "total_chunks", F.length("full_text_content").alias("text_chars"))
+
+
 # ---- runs, files, logs ----------------------------------------------------------------------
 
 

@@ -131,3 +131,31 @@ def test_files_and_stream(spark, tmp_path):
 def test_windows(spark, small):
     log = spark.read.parquet(f"{small}/download_log.parquet")
     assert ingest.downloads_by_window(log).agg(F.sum("n_rows")).first()[0] == log.filter("logged_at is not null").count()
+
+
+def test_pipeline_routes_and_isolates(spark):
+    from quillspark.operators import pipeline
+
+    rows = [(1, "Title\nbody", False), (2, "", False), (3, None, False), (4, "a. " * 30 + "\n\n" + "b. " * 30, False), (5, "x" * 120, False), (6, "file", True), (7, "bad", False)]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id int, text string, direct boolean, record string")
+    settings = pipeline.Settings(max_chars=100)
+    calls = [(r.doc_id, r.method, r.n_chunks) for r in pipeline.route(docs, settings, "direct").orderBy("doc_id", "chunk_no").collect()]
+    assert calls == [(1, "text_extraction", 1), (2, "empty", 1), (3, "empty", 1), (4, "chunk_1", 2), (4, "chunk_2", 2), (5, "text_truncated", 1), (6, "direct_upload", 1), (7, "text_extraction", 1)]
+
+    def make():
+        offline = extract.offline_model()
+
+        def reply(prompt):
+            if prompt.endswith("bad"):
+                raise RuntimeError("down")
+            return "```json\n" + offline(prompt) + "\n```"
+
+        return reply
+
+    got = {r.doc_id: r for r in pipeline.run(docs, settings, make, "direct").collect()}
+    assert got[1].document_info.title == "Title" and got[1].error is None and got[1].method_resolved == "text_extraction"
+    assert got[2].error == "no text" and got[7].error == "RuntimeError: down"
+    assert got[4].method_resolved == "multi_chunk" and got[4].total_chunks == 2
+    assert got[5].full_text_content.endswith("DOCUMENT CONTINUES]")
+    suspect = spark.createDataFrame([("http://h/a.pdf", None), ("http://h/a", "text/html"), (None, "application/pdf")], "u string, c string")
+    assert [r[0] for r in suspect.select(pipeline.is_suspect(F.col("u"), F.col("c"))).collect()] == [False, True, False]
