@@ -280,10 +280,10 @@ def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_rows(fixtures.make(spark, d, fixtures.CHUNKS))
 
 
-@_query()
+@_query(f"""SELECT doc_id, left(t, 1000) || chr(10) || chr(10) || '{chunking.TRUNCATED.strip()}' AS text FROM (SELECT doc_id, regexp_replace(text, '[.\\n]+', ' ', 'g') AS t FROM documents) d WHERE length(t) > 1000""")
 def chunk_truncate(spark: SparkSession, d: str) -> DataFrame:
     """Texts without any boundary that are too long, cut and marked."""
-    solid = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n+|\. ", " ").alias("text"))
+    solid = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[.\n]+", " ").alias("text"))
     return solid.select("doc_id", chunking.truncated(F.col("text"), F.lit(1000)).alias("text")).filter("text is not null")
 
 
