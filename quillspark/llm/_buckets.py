@@ -1,9 +1,13 @@
-"""Pairs of items that share a bucket, without ever holding an unbounded bucket.
+"""Rows that share a key, and pairs of items that share a bucket, without holding an unbounded group.
 
-Buckets are cut into blocks of at most ``BLOCK`` items. A bucket of one block is compared
-in place; one of several gives a group for each two of its blocks, so that the hot bucket's
-work is spread over as many tasks as it has block pairs, and blocks whose size ranges
-cannot hold a similar pair are left out. No bucket is capped or dropped.
+``shared_rows`` counts keys first, with partial aggregates before the exchange, and joins the
+shared ones back: by broadcast while they are fewer than ``BROADCAST_ROWS`` (counted, not
+guessed), else by a join that adaptive execution can split where a key is hot.
+
+``bucket_pairs`` cuts buckets into blocks of about ``BLOCK`` items by a hash of the item, as
+many as the bucket's count asks for. A bucket of one block is compared in place; one of
+several gives a group for each two of its blocks, so that a hot bucket's work is spread over
+as many tasks as it has block pairs. No bucket is capped or dropped.
 """
 
 from __future__ import annotations
@@ -12,46 +16,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 BLOCK = 512
+BROADCAST_ROWS = 500_000
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def shared_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of keys that have two values, with ``members``, the number of the key's rows.
+
+    ``rows`` is computed twice, which costs less than writing it.
+    """
+    counts = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("members"))
+    shared = cut(counts.filter("lo < hi").select(key, "members"))
+    small = shared.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(shared) if small else shared, key)
+
+
 def bucket_pairs(rows: DataFrame, ratio: float) -> DataFrame:
     """Distinct ``a < b`` of ``id`` values that share a ``bucket`` with sizes at least ``ratio`` alike.
 
     ``rows`` has ``bucket BIGINT, id BIGINT, size INT``; repeated rows count once.
     """
-    here = Window.partitionBy("bucket")
-    shared = (
-        rows.withColumn("lo", F.min("id").over(here))
-        .withColumn("hi", F.max("id").over(here))
-        .filter("lo < hi")
-        .drop("lo", "hi")
-        .distinct()
-    )
-    numbered = (
-        shared.withColumn("rank", F.row_number().over(here.orderBy("size", "id")) - 1)
-        .withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
-        .withColumn("last", F.max("block").over(here))
-    )
-    grouped = numbered.select(
-        "bucket",
-        "id",
-        "size",
-        "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))).alias("g"),
-    ).select("bucket", "g.low", "g.high", "block", "id", "size")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    shared = shared_rows(rows, "bucket", "id").select("bucket", "id", "size", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).distinct()
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    grouped = shared.select("bucket", "id", "size", "block", other).select("bucket", F.least("other", "block").alias("low"), F.greatest("other", "block").alias("high"), "block", "id", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            own = np.stack([cols[0], cols[1].astype(np.int64), cols[2].astype(np.int64), cols[3].astype(np.int64), cols[4], cols[5].astype(np.int64)], axis=1)
-            held.append(own)
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], axis=1))
             rows_ = np.concatenate(held)
             new = np.flatnonzero((rows_[1:, :3] != rows_[:-1, :3]).any(axis=1)) + 1
             if not len(new):
