@@ -71,13 +71,14 @@ def write_summary(summary: DataFrame, folder: str) -> None:
 def download(targets: DataFrame, folder: str, make_fetcher: Callable[[], Callable[[str], bytes]]) -> DataFrame:
     """Saves ``source_url`` as ``saved_filename``; ``saved_filename, status, n_bytes, error`` for each.
 
-    Names that occur for several sources get their place among them in front, so that no file
-    overwrites another.
+    Names that occur for several sources get a hash of their source before the suffix, so that
+    no file overwrites another. Names are counted by partial aggregates, so a default name that
+    a large part of all links has is no burden.
     """
-    from pyspark.sql import Window
-
-    place = F.dense_rank().over(Window.partitionBy("saved_filename").orderBy("source_url"))
-    named = targets.select("source_url", F.when(place > 1, F.concat(place.cast("string"), F.lit("_"), F.col("saved_filename"))).otherwise(F.col("saved_filename")).alias("saved_filename")).distinct()
+    one = targets.select("source_url", "saved_filename").distinct()
+    shared = one.groupBy("saved_filename").agg((F.min("source_url") < F.max("source_url")).alias("shared"))
+    own = F.concat(F.regexp_replace("saved_filename", r"(?<=.)\.[^.]+\z", ""), F.lit("_"), F.lower(F.hex(F.xxhash64("source_url"))), F.regexp_extract("saved_filename", r"(?<=.)(\.[^.]+)\z", 1))
+    named = one.join(shared, "saved_filename").select("source_url", F.when(F.col("shared"), own).otherwise(F.col("saved_filename")).alias("saved_filename"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = make_fetcher()
