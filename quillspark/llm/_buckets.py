@@ -7,7 +7,8 @@ guessed), else by a join that adaptive execution can split where a key is hot.
 ``bucket_pairs`` cuts buckets into blocks of about ``BLOCK`` items by a hash of the item, as
 many as the bucket's count asks for. A bucket of one block is compared in place; one of
 several gives a group for each two of its blocks, so that a hot bucket's work is spread over
-as many tasks as it has block pairs. No bucket is capped or dropped.
+as many tasks as it has block pairs. Buckets that hold the same items (equal counts and two sums
+of 40 bits of the items' hashes) are compared once. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -43,8 +44,14 @@ def bucket_pairs(rows: DataFrame, ratio: float) -> DataFrame:
 
     ``rows`` has ``bucket BIGINT, id BIGINT, size INT``; repeated rows count once.
     """
-    blocks = F.ceil(F.col("members") / BLOCK)
-    shared = shared_rows(rows, "bucket", "id").select("bucket", "id", "size", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).distinct()
+    met = cut(shared_rows(rows, "bucket", "id").select("bucket", "id", "size").distinct())
+    # buckets of the same items say the same: one of them is enough
+    h = F.xxhash64("id")
+    sums = met.groupBy("bucket").agg(F.count("*").alias("n"), F.try_sum(h.bitwiseAND((1 << 40) - 1)).alias("low_sum"), F.try_sum(F.shiftrightunsigned(h, 24)).alias("high_sum"))
+    alone = F.when(F.col("low_sum").isNull() | F.col("high_sum").isNull(), F.col("bucket"))
+    kept = sums.groupBy("n", "low_sum", "high_sum", alone.alias("alone")).agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    shared = met.join(kept.select("bucket", "n"), "bucket").select("bucket", "id", "size", blocks.cast("int").alias("blocks"), F.pmod(h, blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     grouped = shared.select("bucket", "id", "size", "block", other).select("bucket", F.least("other", "block").alias("low"), F.greatest("other", "block").alias("high"), "block", "id", "size")
 
