@@ -14,6 +14,11 @@ the suffix (as 64-bit hashes of the whole path). A prefix that has more than ``G
 suffixes is split by longer prefixes, here the whole paths of depth ``LENGTH``, so that no
 group holds a hot passage in one task; nothing is capped.
 
+In a stretch of period up to ``PERIOD`` the same key is chosen once a period. Those suffixes
+whose paths all lie inside the stretch have equal paths, so the first stands for them and
+carries the position of the last (``until``); those nearer to an end are all kept. A path
+that the first shares is shared from each of them.
+
 Texts that are equal are one class from the start; classes become pairs of documents at the end.
 
 Defined results
@@ -44,15 +49,15 @@ GROUP = 2048
 SMALL = 32
 #: Characters of a text that are hashed at a time.
 SEGMENT = 1_000_000
-#: Runs of equal keys this close together are one periodic stretch; its two ends stand for it.
+#: Equal keys this close together are one periodic stretch; at most half of ``PREFIX``, so that all have one period.
 PERIOD = 64
 
-_CHOSEN = pa.schema([("prefix", pa.int64()), ("digest", pa.int64()), ("pos", pa.int32())])
-_PATHS = pa.schema([("prefix", pa.int64()), ("hot", pa.bool_()), ("digest", pa.int64()), ("pos", pa.int32()), ("paths", pa.list_(pa.int64()))])
+_CHOSEN = pa.schema([("prefix", pa.int64()), ("digest", pa.int64()), ("pos", pa.int32()), ("until", pa.int32())])
+_PATHS = pa.schema([("prefix", pa.int64()), ("hot", pa.bool_()), ("digest", pa.int64()), ("pos", pa.int32()), ("until", pa.int32()), ("paths", pa.list_(pa.int64()))])
 
 
-def chosen(texts: list[str], length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, position and key of the chosen suffixes of texts of at least ``length`` characters."""
+def chosen(texts: list[str], length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, position, last position that it stands for, and key of the chosen suffixes of texts of at least ``length`` characters."""
     c = codes("".join(texts))
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     stops = np.cumsum(sizes)
@@ -70,12 +75,22 @@ def chosen(texts: list[str], length: int = LENGTH, prefix: int = PREFIX) -> tupl
     key = key[pos]
     order = np.lexsort((pos, key))
     p, k = pos[order], key[order]
-    near = np.zeros(len(p) + 1, dtype=bool)
-    near[1:-1] = (k[1:] == k[:-1]) & (p[1:] - p[:-1] <= PERIOD)
-    ends = ~(near[:-1] & near[1:])
-    p, k = p[ends], k[ends]
+    far = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] - p[:-1] > min(PERIOD, prefix // 2))) + 1
+    first = np.concatenate([[0], far]).astype(np.int64)[: len(p)]
+    last = np.concatenate([far, [len(p)]]).astype(np.int64)[: len(p)] - 1
+    stretch = np.repeat(np.arange(len(first)), last - first + 1)
+    # all paths of these lie inside the stretch: they are the same paths
+    inner = (p - p[first][stretch] >= length - prefix) & (p[last][stretch] - p >= length - prefix)
+    until = p.copy()
+    at = np.flatnonzero(inner)
+    keep = ~inner
+    if len(at):
+        new = np.flatnonzero(np.concatenate([[True], stretch[at[1:]] != stretch[at[:-1]]]))
+        keep[at[new]] = True
+        until[at[new]] = p[at[np.concatenate([new[1:], [len(at)]]) - 1]]
+    p, k, until = p[keep], k[keep], until[keep]
     own = np.searchsorted(stops, p, side="right")
-    return own, p - (stops - sizes)[own], k
+    return own, p - (stops - sizes)[own], until - (stops - sizes)[own], k
 
 
 def _paths(text: str, pos: np.ndarray, length: int, prefix: int) -> np.ndarray:
@@ -99,55 +114,56 @@ def _base(documents: DataFrame, id_col: str, text_col: str, length: int) -> Data
 
 
 def _suffix_paths(base: DataFrame, length: int, prefix: int) -> DataFrame:
-    """``prefix, hot, digest, pos, paths`` of the chosen suffixes whose key two texts have."""
+    """``prefix, hot, digest, pos, until, paths`` of the chosen suffixes whose key two texts have."""
 
     def choose(digests: list, texts: list) -> list:
         # very long texts are read in overlapping segments; every window is whole in one of them
         segments = [(d, k, t[k : k + SEGMENT + length - 1]) for d, t in zip(digests, texts) for k in range(0, max(len(t) - length + 1, 1), SEGMENT)]
-        own, pos, key = chosen([t for *_, t in segments], length, prefix)
+        own, pos, until, key = chosen([t for *_, t in segments], length, prefix)
         start = np.array([k for _, k, _ in segments], dtype=np.int64)
-        return [key.view(np.int64), np.array([d for d, *_ in segments], np.int64)[own], (pos + start[own]).astype(np.int32)]
+        return [key.view(np.int64), np.array([d for d, *_ in segments], np.int64)[own], (pos + start[own]).astype(np.int32), (until + start[own]).astype(np.int32)]
 
-    keys = map_blocks(spread(base.select("digest", "text")), "text", choose, "prefix bigint, digest bigint, pos int", _CHOSEN, once="digest")
+    keys = map_blocks(spread(base.select("digest", "text")), "text", choose, "prefix bigint, digest bigint, pos int, until int", _CHOSEN, once="digest")
     shared = (
         shared_rows(keys, "prefix", "digest")
         .groupBy("digest")
-        .agg(F.collect_set(F.struct("pos", "prefix", (F.col("members") > GROUP).alias("hot"))).alias("suffixes"))
+        .agg(F.collect_set(F.struct("pos", "until", "prefix", (F.col("members") > GROUP).alias("hot"))).alias("suffixes"))
     )
     ids = base.groupBy("digest").agg(F.min("id").alias("id"))
     wanted = cut(shared.join(ids, "digest"))
     texts = base.select("id", F.col("digest").alias("own"), "text").join(wanted, "id").filter("own = digest").dropDuplicates(["digest"])
 
     def expand(digests: list, suffixes: list, texts: list) -> list:
-        prefixes, hots, whose, positions, paths = [], [], [], [], []
+        prefixes, hots, whose, positions, untils, paths = [], [], [], [], [], []
         for d, s, t in zip(digests, suffixes, texts):
             pos = np.array([x["pos"] for x in s], dtype=np.int64)
             paths.append(_paths(t, pos, length, prefix))
             positions.append(pos)
             prefixes += [x["prefix"] for x in s]
             hots += [x["hot"] for x in s]
+            untils += [x["until"] for x in s]
             whose += [d] * len(s)
         flat = np.concatenate(paths)
         at = np.arange(len(flat) + 1, dtype=np.int32) * (length - prefix + 1)
-        return [prefixes, hots, whose, np.concatenate(positions).astype(np.int32), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.ravel().view(np.int64)))]
+        return [prefixes, hots, whose, np.concatenate(positions).astype(np.int32), untils, pa.ListArray.from_arrays(pa.array(at), pa.array(flat.ravel().view(np.int64)))]
 
-    return map_blocks(texts.select("digest", "suffixes", "text"), "text", expand, "prefix bigint, hot boolean, digest bigint, pos int, paths array<bigint>", _PATHS)
+    return map_blocks(texts.select("digest", "suffixes", "text"), "text", expand, "prefix bigint, hot boolean, digest bigint, pos int, until int, paths array<bigint>", _PATHS)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``digest, pos, paths`` of rows sorted by prefix, and the edges of the whole groups in them."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``digest, pos, until, paths`` of rows sorted by prefix, and the edges of the whole groups in them."""
     held: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)) + (batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1),)
+        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)) + (batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1),)
         held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
         new = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
         if len(new):
-            yield held[1][: new[-1]], held[2][: new[-1]], held[3][: new[-1]], np.concatenate([[0], new])
+            yield *(x[: new[-1]] for x in held[1:]), np.concatenate([[0], new])
             held = tuple(x[new[-1] :] for x in held)
     if held is not None:
-        yield held[1], held[2], held[3], np.array([0, len(held[0])])
+        yield *held[1:], np.array([0, len(held[0])])
 
 
 def _small(digest: np.ndarray, node: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -175,7 +191,7 @@ def _large(edges: np.ndarray) -> Iterator[slice]:
 
 def _sorted_groups(paths: DataFrame) -> DataFrame:
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return paths.filter("not hot").select("prefix", "digest", "pos", "paths").repartition(n, "prefix").sortWithinPartitions("prefix")
+    return paths.filter("not hot").select("prefix", "digest", "pos", "until", "paths").repartition(n, "prefix").sortWithinPartitions("prefix")
 
 
 def _batch(pairs: np.ndarray) -> pa.RecordBatch:
@@ -184,16 +200,16 @@ def _batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def _hot_nodes(paths: DataFrame, length: int) -> DataFrame:
-    """Suffixes under hot prefixes, split by whole paths: ``path, digest, start``."""
-    one = paths.filter("hot").select("digest", "pos", F.posexplode("paths").alias("back", "path")).filter("path <> 0")
-    return one.select("path", "digest", (F.col("pos") - F.col("back")).alias("start")).distinct()
+    """Suffixes under hot prefixes, split by whole paths: ``path, digest, start, reach``."""
+    one = paths.filter("hot").select("digest", "pos", (F.col("until") - F.col("pos")).alias("reach"), F.posexplode("paths").alias("back", "path")).filter("path <> 0")
+    return one.select("path", "digest", (F.col("pos") - F.col("back")).alias("start"), "reach").distinct()
 
 
 def _links(paths: DataFrame, length: int) -> DataFrame:
     """``a < b``: digests of texts that share a span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, _, node, edges in _groups(batches):
+        for digest, _, _, node, edges in _groups(batches):
             for i, j, _ in _small(digest, node, edges):
                 yield _batch(np.stack([digest[i], digest[j]], axis=1))
             for part in _large(edges):
@@ -220,7 +236,7 @@ def _spans(paths: DataFrame, length: int) -> DataFrame:
     """``digest, start, stop``: stretches of texts that stand in another text, not yet merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, pos, node, edges in _groups(batches):
+        for digest, pos, until, node, edges in _groups(batches):
             most = np.full(len(pos), -1)
             least = np.full(len(pos), node.shape[1])
             for i, j, equal in _small(digest, node, edges):
@@ -240,10 +256,10 @@ def _spans(paths: DataFrame, length: int) -> DataFrame:
                     least[ok] = np.minimum(least[ok], back)
             ok = most >= 0
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(digest[ok]), pa.array((pos - most)[ok].astype(np.int32)), pa.array((pos - least + length)[ok].astype(np.int32))], names=["digest", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[ok]), pa.array((pos - most)[ok].astype(np.int32)), pa.array((until - least + length)[ok].astype(np.int32))], names=["digest", "start", "stop"])
 
     cold = _sorted_groups(paths).mapInArrow(run, "digest bigint, start int, stop int")
-    hot = shared_rows(_hot_nodes(paths, length), "path", "digest").select("digest", F.col("start").cast("int"), (F.col("start") + length).cast("int").alias("stop"))
+    hot = shared_rows(_hot_nodes(paths, length), "path", "digest").select("digest", F.col("start").cast("int"), (F.col("start") + F.col("reach") + length).cast("int").alias("stop"))
     return cold.union(hot)
 
 

@@ -55,6 +55,38 @@ def test_against_brute_force(records, monkeypatch, hot, small):
     assert {r.id for r in report} == {i for i, *_ in rows if i is not None}
 
 
+def periodic_rows(rng):
+    """Rules, leaders, equal table rows and blank forms, of equal and of unequal lengths in two texts and in any phase."""
+    rows = [(i, noise(rng, 90) + str(i) + "-" * 1000 + str(i) + noise(rng, 90), "s", "en") for i in (1, 2)]
+    row = noise(rng, 37)
+    rows += [(i, noise(rng, 50) + str(i) + row * 40 + str(i) + noise(rng, 50), "s", "en") for i in (3, 4)]
+    for k, period in enumerate([1, 2, 3, 5, 7, 12, 24, 31, 40, 47, 55, 60, 60, 60, 60, 61, 62, 63, 64, 65, 71, 72, 73, 74, 90]):
+        unit = noise(rng, period)
+        for j, n in enumerate((1000, rng.randrange(400, 900), rng.randrange(200, 260), rng.randrange(200, 260))):
+            at = rng.randrange(period)
+            rows.append((100 + 4 * k + j, noise(rng, rng.randrange(0, 150)) + (unit * 1100)[at : at + n] + noise(rng, rng.randrange(0, 150)), "s", "en"))
+    return rows
+
+
+@pytest.mark.parametrize("hot,small,segment", [(2048, 32, 1_000_000), (2, 1, 1_000_000), (2048, 1, 1_000_000), (2048, 32, 400)])
+def test_periodic_stretches(records, monkeypatch, hot, small, segment):
+    monkeypatch.setattr(S, "GROUP", hot)
+    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "SEGMENT", segment)
+    rows = periodic_rows(random.Random(hot + small + segment))
+    pairs, shared = brute(rows)
+    assert shared[1] == shared[2] == 1000 and shared[3] == 37 * 40
+    df = records(rows)
+    assert {tuple(r) for r in S.sharing_pairs(df, "rec_id", "text").collect()} == pairs
+    report = {r.id: r for r in S.shared_report(df, "rec_id", "text").collect()}
+    assert {i: r.shared_chars for i, r in report.items() if r.shared_chars} == shared
+    assert [report[i].n_passages for i in (1, 2, 3, 4)] == [1] * 4
+
+
+def test_long_stretches_are_few_suffixes():
+    assert len(S.chosen(["-" * 100_000])[0]) < 200
+
+
 def test_segments(records, monkeypatch):
     rows = rows_of(random.Random(77))
     want = {tuple(r) for r in S.sharing_pairs(records(rows), "rec_id", "text").collect()}
