@@ -1,8 +1,11 @@
 """Template residue and error-page text: placeholders, filler, error pages, script notices.
 
 Two character n-gram models are fitted, one on ``SEEDS`` (phrases of filler, error pages and
-script notices, fixed values below) and one on natural prose, a sample of the table's own
-texts bounded by ``sample_rows``. The log-likelihood ratio of each 4-gram is summed over a
+script notices, fixed values below) and one on natural prose, all of the table's own texts:
+4-grams are counted into ``2 ** BITS`` buckets by partial aggregates, texts that are equal
+once, and without what a first pass with the seeds alone marks as residue (stretches of two
+windows or more, and the whole text where ``MOSTLY`` of it is marked; a single window of
+prose may by chance hold the seeds' 4-grams only). The log-likelihood ratio of each 4-gram is summed over a
 sliding window; windows above the threshold localise residue, and their union over the
 text's length is its coverage. Unfilled placeholders are too short for a window: text within
 a pair of placeholder marks is a candidate, and a candidate with marks that prose uses too
@@ -21,22 +24,27 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._arrow import map_blocks
+from quillspark.llm._arrow import blocks, map_blocks
+from quillspark.llm._buckets import BROADCAST_ROWS
 from quillspark.llm._hashing import U, codes, mix
-from quillspark.session import spread
+from quillspark.session import cut, spread
 
 GRAM = 4
 WINDOW = 28
 BITS = 18
 #: Nats for each 4-gram of a window, on average.
 LEVEL = 1.5
-SAMPLE_ROWS = 2000
+#: A text that the first pass covers to this part is no prose.
+MOSTLY = 0.5
+#: ``LEVEL`` of the first pass, where a 4-gram of the seeds gives about two nats.
+FIRST_LEVEL = 2.0
 
 #: Phrases of filler, error pages and script notices.
 SEEDS = (
@@ -110,8 +118,11 @@ def _plain(c: np.ndarray) -> np.ndarray:
 
 def fit(prose: list[str]) -> np.ndarray:
     """Log-likelihood ratio of each 4-gram bucket, residue against prose."""
+    return _ratio(_counts(["\n".join(prose[i : i + 256]) for i in range(0, len(prose), 256)]))
+
+
+def _ratio(natural: np.ndarray) -> np.ndarray:
     seeds = _counts(list(SEEDS))
-    natural = _counts(["\n".join(prose[i : i + 256]) for i in range(0, len(prose), 256)])
     n_seeds, n_natural = max(seeds.sum(), 1), max(natural.sum(), 1)
     ratio = np.log((seeds + 0.02) / n_seeds) - np.log((natural + 0.5) / max(n_natural, 20_000))
     ratio = np.where(seeds > 0, ratio, np.minimum(ratio, -1.5))
@@ -152,7 +163,7 @@ def placeholders(text: str) -> list[tuple[int, int]]:
 _MARKS = re.compile(r"[\[{<@$%#]|XX-|__[A-Za-z]")
 
 
-def localise(texts: list[str | None], model: np.ndarray) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+def localise(texts: list[str | None], model: np.ndarray, level: float = LEVEL) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
     """The residue spans of each text and the part of the text that they cover."""
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     coverage = np.zeros(len(texts))
@@ -170,7 +181,7 @@ def localise(texts: list[str | None], model: np.ndarray) -> tuple[list[list[tupl
     w = min(WINDOW - GRAM + 1, len(score))
     window = total[w:] - total[:-w]
     own = np.minimum(sizes - GRAM + 1, w)  # a text shorter than a window is one window
-    bar = np.repeat(LEVEL * np.maximum(own, 1), sizes + WINDOW)
+    bar = np.repeat(level * np.maximum(own, 1), sizes + WINDOW)
     bar[np.repeat(starts + sizes, WINDOW) + np.tile(np.arange(WINDOW), len(sizes))] = np.inf  # no window starts between texts
     bar = bar[: len(window)]
     hits = np.flatnonzero(window > bar)
@@ -193,20 +204,54 @@ def localise(texts: list[str | None], model: np.ndarray) -> tuple[list[list[tupl
     return spans, coverage
 
 
-def fit_on(records: DataFrame, text_cols: dict[str, str], sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """The model fitted on at most ``sample_rows`` values of each column of the table."""
-    prose: list[str] = []
-    for path in text_cols.values():
-        prose += [r[0] for r in records.select(F.col(path)).filter(F.length(path) >= GRAM).limit(sample_rows).collect()]
-    return fit(prose)
+def _prose(texts: list[str], seeds_only: np.ndarray) -> list[str]:
+    """What the first pass leaves of texts as prose."""
+    out: list[str] = []
+    for t, spans, part in zip(texts, *localise(texts, seeds_only, FIRST_LEVEL)):
+        if part >= MOSTLY:
+            continue
+        at = 0
+        for a, b in sorted(spans):
+            if b - a < 2 * WINDOW:
+                continue
+            if a > at:
+                out.append(t[at:a])
+            at = max(at, b)
+        out.append(t[at:])
+    return out
+
+
+def fit_on(records: DataFrame, text_cols: dict[str, str]) -> np.ndarray:
+    """The model fitted on all different values of the columns."""
+    seeds_only = fit([])
+    values = spread(records.select(*[F.col(p).cast("string").alias(f"f{k}") for k, p in enumerate(text_cols.values())]))
+    texts = values.select(F.explode(F.array(*values.columns)).alias("text")).filter(F.length("text") >= GRAM).withColumn("digest", F.xxhash64("text"))
+    # only texts that have copies are shuffled, one of each task
+    copied = cut(texts.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1").select("digest"))
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
+    once = texts.join(copied, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    different = texts.join(copied, "digest", "left_anti").select("text").union(once.select("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, dtype=np.int64)
+        for (block,) in blocks(batches, 0):
+            total += _counts(["\n".join(_prose(block, seeds_only))]).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    counted = different.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    natural = np.zeros(1 << BITS)
+    natural[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return _ratio(natural)
 
 
 _FOUND = pa.schema([("id", pa.int64()), ("field", pa.string()), ("coverage", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
-def find_residue(records: DataFrame, id_col: str, text_cols: dict[str, str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def find_residue(records: DataFrame, id_col: str, text_cols: dict[str, str]) -> DataFrame:
     """``id, field, coverage, spans`` of the values with residue. ``text_cols``: field name to column path."""
-    model = fit_on(records, text_cols, sample_rows)
+    model = fit_on(records, text_cols)
     names = list(text_cols)
     rows = spread(records.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(p).cast("string").alias(f"f{k}") for k, p in enumerate(text_cols.values())]))
 

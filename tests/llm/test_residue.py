@@ -39,3 +39,14 @@ def test_table(records):
     rows = [(1, "Untitled Document", None, None), (1, "Untitled Document", None, None), (2, None, "s", "en"), (3, "", "s", "en"), (4, PROSE[0] * 500, "s", "en")]
     assert [(r.id, r.field) for r in R.find_residue(records(rows), "rec_id", {"text": "text", "lang": "lang"}).collect()] == [(1, "text")] * 2
     assert R.find_residue(records([]), "rec_id", {"text": "text"}).count() == 0
+
+
+def test_copies_of_a_page_are_no_prose(records):
+    page = "The page you are looking for does not exist or has been moved. Please enable JavaScript and try again later or go back to the home page."
+    prose = [f"Order {i}: the Licensing Officer of ward {i * 7} shall keep a copy of the award and enter the vessel in the register after sunset." for i in range(100)]
+    own = [(i, t, "s", "en") for i, t in enumerate(prose)]
+    many = [(1000 + i, page, "s", "en") for i in range(3000)]
+    want = R.fit_on(records([*own, many[0]]), {"text": "text"})
+    got = R.fit_on(records(many + own), {"text": "text"})
+    assert (got == want).all() and (got == R.fit_on(records(own + many), {"text": "text"})).all()
+    assert {r.id for r in R.find_residue(records(many + own), "rec_id", {"text": "text"}).collect()} == {i for i, *_ in many}
