@@ -173,20 +173,25 @@ def hidden_limits(inspected: DataFrame) -> DataFrame:
     return counts.withColumn("mean", mean).filter((F.col("n_values") >= LEAST) & (F.col("n_values") >= RATIO * F.greatest("mean", F.lit(0.5)))).select("field", "measure", "length", "n_values")
 
 
+def _judged(inspected: DataFrame) -> DataFrame:
+    """The values without residue and ``cut``: whether they are cut, or end unsure at a hidden limit."""
+    limits = hidden_limits(inspected).groupBy("field").agg(F.collect_set(F.struct("measure", "length")).alias("limits"))
+    own = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])
+    at_limit = F.coalesce(F.arrays_overlap("limits", own), F.lit(False))
+    cut = (F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & at_limit)
+    return inspected.filter("not residue").join(F.broadcast(limits), "field", "left").withColumn("cut", cut)
+
+
 def find_truncated(inspected: DataFrame) -> DataFrame:
     """``id, field``: the values that end inside a word or a sentence, residue left out."""
-    limits = hidden_limits(inspected).select("field", "measure", "length")
-    own = inspected.filter("not residue")
-    certain = own.filter(F.col("ending") == CUT).select("id", "field")
-    unsure = own.filter(F.col("ending") == UNSURE).select("id", "field", F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in MEASURES]), F.array(*MEASURES))).alias("measure", "length"))
-    return certain.union(unsure.join(limits, ["field", "measure", "length"], "left_semi").select("id", "field")).distinct()
+    return _judged(inspected).filter("cut").select("id", "field").distinct()
 
 
 def truncation_report(inspected: DataFrame) -> DataFrame:
-    """``source, field, n_values, n_cut, share_cut``."""
+    """``source, field, n_values, n_cut, share_cut``, by the verdict of ``find_truncated``."""
     return (
-        inspected.filter("not residue")
+        _judged(inspected)
         .groupBy("source", "field")
-        .agg(F.count("*").alias("n_values"), F.sum((F.col("ending") == CUT).cast("bigint")).alias("n_cut"))
+        .agg(F.count("*").alias("n_values"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"))
         .withColumn("share_cut", F.col("n_cut") / F.col("n_values"))
     )

@@ -39,6 +39,16 @@ def test_hidden_limits_and_report(records):
     assert report == {"s0": (60, 20), "s1": (20, 20)}
 
 
+def test_report_has_the_cases_found(records):
+    unsure = lambda n: "x" * (n - 20) + " is due: about Rs. 27."[-20:]
+    assert T.ending(unsure(200)) == T.UNSURE
+    rows = [(i, "x" * 200, "a", "en") for i in range(40)] + [(100 + i, unsure(200), "b", "en") for i in range(10)] + [(200 + i, unsure(300 + i), "b", "en") for i in range(10)]
+    rows += [(None, unsure(200), "b", "en"), (100, unsure(200), "b", "en")]
+    seen = T.inspect(records(rows), "rec_id", {"t": "text"}, "source").cache()
+    assert {r.id for r in T.find_truncated(seen).collect()} == {*range(40), *range(100, 110), None}
+    assert {r.source: (r.n_values, r.n_cut) for r in T.truncation_report(seen).collect()} == {"a": (40, 40), "b": (22, 12)}
+
+
 def test_empty(records):
     seen = T.inspect(records([]), "rec_id", {"t": "text"}, "source")
     assert T.find_truncated(seen).count() == 0 and T.truncation_report(seen).count() == 0
