@@ -144,7 +144,8 @@ def _most_common(a: str, b: str) -> Column:
 
     Common features fall on common bits, one a bit but for the features beyond the first on
     a bit, of which the set with fewer of them bounds the number. A bitmap of twice the
-    length folds onto the other by OR.
+    length folds onto the other by OR; its set has more such features then than ``taken``
+    says, so only the other set bounds them.
     """
     def folded(x: str, y: str) -> Column:
         n = F.size(y)
@@ -152,8 +153,10 @@ def _most_common(a: str, b: str) -> Column:
         return F.when(F.size(x) > n, halves).otherwise(F.col(x))
 
     met = F.zip_with(folded(f"bits_{a}", f"bits_{b}"), folded(f"bits_{b}", f"bits_{a}"), lambda p, q: p.bitwiseAND(q))
-    extra = [F.col(f"n_{x}") - F.col(f"taken_{x}") for x in (a, b)]
-    return F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x)) + F.least(*extra)
+    extra_a, extra_b = (F.col(f"n_{x}") - F.col(f"taken_{x}") for x in (a, b))
+    size_a, size_b = F.size(f"bits_{a}"), F.size(f"bits_{b}")
+    extra = F.when(size_a > size_b, extra_b).when(size_b > size_a, extra_a).otherwise(F.least(extra_a, extra_b))
+    return F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x)) + extra
 
 
 def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -49,6 +49,21 @@ def test_edges(records):
     assert groups == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 1), 7: (6, 1), 8: (1, 1)}
 
 
+def test_bitmaps_bound_the_common_features(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, m, common in [(1024, 1020, 767), (1024, 1020, 800), (2050, 2040, 1534), (1100, 700, 675), (900, 800, 640), (60, 50, 42)] * 8:
+        f = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = f[:n], f[n - common : n - common + m]
+        pair = [(N._bits(x).view(np.int64).tolist(), int(np.bitwise_count(N._bits(x)).sum()), len(x)) for x in (a, b)]
+        for one, two in (pair, pair[::-1]):
+            rows.append((common, *one, *two))
+    df = spark.createDataFrame(rows, "common int, bits_a array<bigint>, taken_a bigint, n_a int, bits_b array<bigint>, taken_b bigint, n_b int")
+    assert df.filter(N._most_common("a", "b") < df["common"]).count() == 0
+
+
 def test_empty(records):
     assert N.similar_pairs(records([]), "rec_id", "text").count() == 0
     assert N.similar_groups(records([]), "rec_id", "text").count() == 0
