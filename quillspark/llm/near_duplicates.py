@@ -3,17 +3,16 @@
 The features of a text are the hashes of its distinct runs of ``SHINGLE`` lower-cased words.
 Sets are put into size bands of ratio two; as similar sets differ in size by a factor of at
 most 1/threshold < 2, a set whose size reaches into the next band signs there too. In a band
-the feature domain (the hash range) is partitioned into parts, and the subsets of parts that
-are enumerated as signatures are
+the feature domain (the hash range) is partitioned into parts, and the signatures are
 
-* for sets under 24 features (texts that repeat themselves): every feature;
-* for sets under 128 features: two first-level halves of 16 parts, all pairs of parts in a half;
-* for larger sets: single parts, of four to nine features each by design.
+* for sets under 24 features (texts that repeat themselves) and those they can be similar to:
+  every feature;
+* for larger sets: the parts of several independent partitions that hold ``LEAST`` features.
 
-Two sets share a signature if all parts of one enumerated subset hold the same features; by
-the pigeonhole this is certain while the differing features are fewer than the parts that the
-enumeration leaves out, and beyond that the chance of a miss at similarity 0.7 is below 1e-5
-for a hash partition. Subsets with too few features would tie unrelated texts and are not
+Two sets share a signature if a part holds the same features. With parts this large that is
+not certain by the pigeonhole; instead the number of partitions of each band is counted so
+that a pair at the threshold itself is missed with a chance of about ``MISS``, for each size
+of the band, and more similar pairs more rarely. Subsets with too few features would tie unrelated texts and are not
 signatures. Candidates are then compared exactly.
 
 Texts that are equal are one class from the start (64-bit digest), so that a text copied a
@@ -27,6 +26,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,14 @@ from quillspark.llm._hashing import U, mix, shingles
 from quillspark.session import cut, spread
 
 SHINGLE = 3
-HALF = 16
+#: Common features that a part must hold to be a signature.
+LEAST = 4
+#: Common features of a part, on average, of the smallest sets of a band.
+PER_PART = 1.9
+#: Chance of no common signature that a pair at the threshold may have.
+MISS = 1e-4
 #: Sets up to this size sign every feature.
 TINY = 24
-_P, _Q = (np.concatenate([x, x + HALF]) for x in np.triu_indices(HALF, 1))
 
 _SIGNED = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
 _SETS = pa.schema([("digest", pa.int64()), ("n_words", pa.int64()), ("features", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("taken", pa.int64())])
@@ -51,6 +56,25 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
+def partitions(band: int, threshold: float) -> tuple[int, int]:
+    """Parts of a partition for sets of a band, and how many partitions keep the miss chance to ``MISS``.
+
+    Two sets of the band at the threshold have ``c`` common features, ``threshold * 2 ** band``
+    at least and ``4 * threshold / (1 + threshold) * 2 ** band`` at most, and ``c * (1 -
+    threshold) / threshold`` that differ. A part is a shared signature if it has none of the
+    latter and ``LEAST`` of the former; the rarest case over the band is counted.
+    """
+    low, high = threshold * 2**band, 4 * threshold / (1 + threshold) * 2**band
+    parts = max(2, round(low / PER_PART))
+
+    def shared(c: float) -> float:
+        x = c / parts
+        few = sum(math.comb(math.ceil(c), k) * (1 / parts) ** k * (1 - 1 / parts) ** (math.ceil(c) - k) for k in range(LEAST)) if c < 100 else math.exp(-x) * sum(x**k / math.factorial(k) for k in range(LEAST))
+        return (1 - 1 / parts) ** (c * (1 - threshold) / threshold) * (1 - few)
+
+    return parts, math.ceil(math.log(MISS) / math.log1p(-min(shared(low), shared(high))) / parts)
+
+
 def signatures(features: np.ndarray, own: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of ``n`` sets (features sorted within each) and the set of each signature."""
     size = np.bincount(own, minlength=n)
@@ -63,42 +87,26 @@ def signatures(features: np.ndarray, own: np.ndarray, n: int, threshold: float)
     tiny = size[own] * threshold < TINY
     out.append(mix(features[tiny] + U(0x8EBC6AF09C88C6E3)))
     whose.append(own[tiny])
-    some &= size >= TINY * threshold
+    some &= size >= TINY
     for up in (0, 1):
         for b in np.unique(band[some] + up) if some.any() else []:
             sets = np.flatnonzero(some & (band + up == b) & ((up == 0) | (size >= threshold * 2.0**b)))
             if not len(sets):
                 continue
-            if b <= 6:
-                parts, least = 2 * HALF, 1
-            elif b == 7:
-                parts, least = int(2**b * 1.5 / 4), 3
-            else:
-                parts, least = int(2**b * 1.5 / 6), 4
+            parts, repeats = partitions(int(b), threshold)
             lens = size[sets]
             starts = _ranges(lens)
-            pick = np.repeat(at[sets] - starts[:-1], lens) + np.arange(starts[-1])
-            f = features[pick]
+            f = features[np.repeat(at[sets] - starts[:-1], lens) + np.arange(starts[-1])]
             row = np.repeat(np.arange(len(sets)), lens)
-            cell = row * parts + (((f >> U(40)) * U(parts)) >> U(24)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            total = np.add.reduceat(mix(f), first)
-            count = np.diff(np.concatenate([first, [len(cell)]]))
-            cell = cell[first]
-            if b <= 6:
-                sums, counts = np.zeros(len(sets) * parts, U), np.zeros(len(sets) * parts, np.int64)
-                sums[cell], counts[cell] = total, count
-                sums, counts = sums.reshape(-1, parts), counts.reshape(-1, parts)
-                h = mix(sums[:, _P] * U(0xA0761D6478BD642F) + sums[:, _Q] * U(0xE7037ED1A0B428DB) + (_P * 64 + _Q).astype(U) * U(0x8EBC6AF09C88C6E3) + U(b))
-                enough = counts[:, _P] + counts[:, _Q] >= 4
-                i, j = np.nonzero(enough)
-                out.append(h[i, j])
-                whose.append(sets[i])
-            else:
-                keep = count >= least
-                h = mix(total[keep] * U(0xA0761D6478BD642F) + (cell[keep] % parts).astype(U) * U(0x8EBC6AF09C88C6E3) + U(b))
-                out.append(h)
-                whose.append(sets[cell[keep] // parts])
+            value = mix(f)
+            for k in range(repeats):
+                own_part = ((mix(f + U(k * 0xD6E8FEB86659FD93 % 2**64)) >> U(40)) * U(parts)) >> U(24)
+                cell = row * parts + own_part.astype(np.int64)
+                total = np.zeros(len(sets) * parts, U)
+                np.add.at(total, cell, value)
+                keep = np.flatnonzero(np.bincount(cell, minlength=len(total)) >= LEAST)
+                out.append(mix(total[keep] * U(0xA0761D6478BD642F) + (keep % parts + k * parts).astype(U) * U(0x8EBC6AF09C88C6E3) + U(b)))
+                whose.append(sets[keep // parts])
     return np.concatenate(out), np.concatenate(whose)
 
 

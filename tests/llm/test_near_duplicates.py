@@ -49,6 +49,25 @@ def test_edges(records):
     assert groups == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 1), 7: (6, 1), 8: (1, 1)}
 
 
+def test_pairs_at_the_threshold_share_a_signature():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, m in [(24, 30), (44, 44), (52, 52), (127, 127), (190, 260), (256, 256), (300, 300), (1024, 1020)]:
+        common = -(-6 * (n + m) // 16)
+        f, own = [], []
+        for k in range(400):
+            x = rng.integers(0, 2**64, n + m - common, dtype=np.uint64)
+            f += [np.sort(x[:n]), np.sort(x[n - common :])]
+            own += [np.full(n, 2 * k), np.full(m, 2 * k + 1)]
+        sig, whose = N.signatures(np.concatenate(f), np.concatenate(own), 800, 0.6)
+        seen = [set() for _ in range(800)]
+        for s, w in zip(sig.tolist(), whose.tolist()):
+            seen[w].add(s)
+        missed = sum(not seen[2 * k] & seen[2 * k + 1] for k in range(400))
+        assert missed <= 1, (n, m, missed)  # 0.04 expected at most
+
+
 def test_bitmaps_bound_the_common_features(spark):
     import numpy as np
 
