@@ -42,10 +42,10 @@ def rows_of(rng):
     return rows
 
 
-@pytest.mark.parametrize("hot,small", [(2048, 32), (2, 1), (2048, 1)])
+@pytest.mark.parametrize("hot,small", [(2048, 8192), (2, 64)])
 def test_against_brute_force(records, monkeypatch, hot, small):
     monkeypatch.setattr(S, "GROUP", hot)
-    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "BLOCK", small)
     rows = rows_of(random.Random(hot + small))
     pairs, shared = brute(rows)
     df = records(rows)
@@ -68,10 +68,10 @@ def periodic_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("hot,small,segment", [(2048, 32, 1_000_000), (2, 1, 1_000_000), (2048, 1, 1_000_000), (2048, 32, 400)])
+@pytest.mark.parametrize("hot,small,segment", [(2048, 8192, 1_000_000), (2, 64, 400)])
 def test_periodic_stretches(records, monkeypatch, hot, small, segment):
     monkeypatch.setattr(S, "GROUP", hot)
-    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "BLOCK", small)
     monkeypatch.setattr(S, "SEGMENT", segment)
     rows = periodic_rows(random.Random(hot + small + segment))
     pairs, shared = brute(rows)
@@ -98,3 +98,33 @@ def test_empty(records):
     df = records([])
     assert S.sharing_pairs(df, "rec_id", "text").count() == 0
     assert S.shared_report(df, "rec_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_long_periodic_passages(records, monkeypatch, hot):
+    monkeypatch.setattr(S, "GROUP", hot)
+    rng = random.Random(5)
+    rows = []
+    for k, (period, n) in enumerate([(1, 3000), (37, 3000), (64, 3000), (70, 3000), (1, 50_000), (90, 50_000)]):
+        unit = noise(rng, period)
+        passage = (unit * (n // period + 1))[:n]
+        rows += [(2 * k + j, noise(rng, 90) + str(k) + passage + str(j) + noise(rng, 90), "s", "en") for j in (0, 1)]
+    report = {r.id: r for r in S.shared_report(records(rows), "rec_id", "text").collect()}
+    for k, n in enumerate([3000, 3000, 3000, 3000, 50_000, 50_000]):
+        for j in (0, 1):
+            assert (report[2 * k + j].n_passages, report[2 * k + j].shared_chars) == (1, n + 1)
+
+
+def test_equal_hashes_of_different_texts(records, spark):
+    """Where the first hash of two texts is equal the second tells them apart."""
+    from unittest import mock
+
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import _digest
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "id bigint, text string")
+    real = F.xxhash64
+    with mock.patch.object(_digest.F, "xxhash64", lambda *c: F.lit(7).cast("bigint") if c == ("text",) else real(*c)):
+        got = {r.id: r.digest for r in _digest.with_digest(df).collect()}
+    assert got[2] == got[3] and len(set(got.values())) == 3
