@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import containers, languages, mixing, near_duplicates, residue, scan_noise, shared_spans, splitting, tokens, truncation
@@ -13,6 +13,18 @@ from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows that a table of settings (fields, containers, targets, languages) may have.
+SETTINGS_ROWS = 100_000
+
+
+def small_rows(settings: DataFrame) -> list[Row]:
+    """The rows of a table of settings; one with more than ``SETTINGS_ROWS`` is refused, not cut."""
+    rows = settings.limit(SETTINGS_ROWS + 1).collect()
+    if len(rows) > SETTINGS_ROWS:
+        raise ValueError(f"a table of settings has more than {SETTINGS_ROWS} rows")
+    return rows
+
+
 RESIDUE_FIELDS = {"title": "document_info.title", "full_text_content": "full_text_content"}
 
 
@@ -49,8 +61,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all oversized values."""
-    rows = table(spark, d, "size_limit").limit(1000).collect()  # one row for each field
-    limits = {r["field"]: (r["max_chars"], r["overlap_chars"]) for r in rows}
+    limits = {r["field"]: (r["max_chars"], r["overlap_chars"]) for r in small_rows(table(spark, d, "size_limit"))}
     return splitting.oversized(splitting.record_values(table(spark, d, "aiscript")), limits).withColumnRenamed("id", "rec_id")
 
 
@@ -77,7 +88,7 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "aiscript")
-    codes = {r["code"]: r["name"] for r in table(spark, d, "lang_code").select("code", "name").collect()}
+    codes = {r["code"]: r["name"] for r in small_rows(table(spark, d, "lang_code"))}
     model = residue.fit_on(records, RESIDUE_FIELDS)
     return languages.language_stretches(records, "rec_id", "full_text_content", "lang", codes, model)
 
@@ -112,27 +123,31 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _specs(spark: SparkSession, d: str) -> dict[str, int]:
-    rows = table(spark, d, "container_spec").limit(1000).collect()  # one row for each kind of container
-    return {r["container"]: r["capacity_tokens"] for r in rows}
+    return {r["container"]: r["capacity_tokens"] for r in small_rows(table(spark, d, "container_spec"))}
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     return cut(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", "source"))
 
 
+def _filled(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int], dict[str, containers.Solution]]:
+    specs = _specs(spark, d)
+    parts = containers.salted(_counted(spark, d), specs)
+    solved = containers.solutions(parts, specs)
+    return containers.fill(parts, specs, solved), specs, solved
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return containers.fill(_counted(spark, d), _specs(spark, d)).withColumnRenamed("id", "doc_id")
+    return _filled(spark, d)[0].withColumnRenamed("id", "doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many containers of each kind there are, and how full."""
-    specs = _specs(spark, d)
-    return containers.report(containers.fill(_counted(spark, d), specs), specs)
+    """How many containers of each kind there are, how full, and the linear program's bound."""
+    return containers.report(*_filled(spark, d))
 
 
 def _targets(spark: SparkSession, d: str) -> dict[str, tuple[float, int]]:
-    rows = table(spark, d, "mix_target").limit(10_000).collect()  # one row for each source
-    return {r["source"].strip().lower(): (r["target_share"], r["max_repeats"]) for r in rows}
+    return {r["source"].strip().lower(): (r["target_share"], r["max_repeats"]) for r in small_rows(table(spark, d, "mix_target"))}
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

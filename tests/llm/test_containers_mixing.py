@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ def test_plans_hold_every_item_once():
     rng = random.Random(4)
     for capacity in (1, 7, 100, 512):
         counts = Counter(min(capacity, max(1, int(rng.lognormvariate(4, 1)) % (capacity + 1))) for _ in range(3000))
-        for plan in (C.solve(dict(counts), capacity), C.largest_first(dict(counts), capacity)):
+        for plan in (C.solve(dict(counts), capacity).plan, C.largest_first(dict(counts), capacity)):
             held = Counter()
             for filling, repeats in plan:
                 assert repeats > 0 and sum(s * n for s, n in filling.items()) <= capacity
@@ -18,15 +19,51 @@ def test_plans_hold_every_item_once():
                     held[s] += n * repeats
             assert held == counts
         lower = -(-sum(s * n for s, n in counts.items()) // capacity)
-        assert sum(r for _, r in C.solve(dict(counts), capacity)) <= 1.03 * lower + 1
-    assert C.solve({}, 10) == []
+        solved = C.solve(dict(counts), capacity)
+        assert lower <= -(-solved.bound // 1) + 1e-6 and solved.bound - 1e-6 <= solved.bins <= solved.greedy_bins
+        assert solved.bins <= 1.03 * lower + 1
+    assert C.solve({}, 10).plan == []
+
+
+def test_program_beats_filling_largest_first():
+    for n in (10, 1000, 100_000):
+        solved = C.solve({51: 6 * n, 27: 6 * n, 26: 6 * n, 23: 12 * n}, 100)
+        assert solved.greedy_bins == 11 * n and 9 * n <= solved.bins <= 9.2 * n
+        assert 8.9 * n <= solved.bound <= 9 * n + 1e-6 and solved.fractional <= solved.fractional_bound * (1 + C.GAP)
+    # pairs and triples that fill a container, of many sizes
+    rng = random.Random(12)
+    counts = Counter()
+    for _ in range(60):
+        a, b = rng.randrange(300, 500), rng.randrange(150, 250)
+        for s in (a, b, 1000 - a - b):
+            counts[s] += 400
+    solved = C.solve(dict(counts), 1000)
+    assert solved.bins <= solved.greedy_bins and solved.bound <= 24_000 + 1e-6 and solved.rounds < C.ROUNDS
+
+
+def test_knapsack():
+    rng = random.Random(2)
+    for _ in range(30):
+        sizes = sorted(rng.sample(range(1, 12), 4))
+        prices, most = [rng.random() for _ in sizes], [rng.randrange(1, 4) for _ in sizes]
+        capacity = rng.randrange(12, 30)
+        filling, worth = C.best_filling(C.np.array(prices), C.np.array(sizes), C.np.array(most), capacity)
+        want = max(sum(p * k for p, k in zip(prices, ks)) for ks in itertools.product(*[range(m + 1) for m in most]) if sum(s * k for s, k in zip(sizes, ks)) <= capacity)
+        assert abs(worth - want) < 1e-9 and abs(sum(p * k for p, k in zip(prices, filling)) - want) < 1e-9
+        assert sum(s * k for s, k in zip(sizes, filling)) <= capacity and all(k <= m for k, m in zip(filling, most))
 
 
 def test_fill(spark):
     rng = random.Random(6)
-    rows = [(i, "s", rng.choice([0, 1, 5, 50, 50, 50, 99, 100, 101, 250])) for i in range(500)] + [(7, "s", 50), (None, "s", 30)]
+    rows = [(i, "s", rng.choice([0, 1, 5, 50, 50, 50, 99, 100, 101, 250])) for i in range(500)] + [(7, "s", 50), (None, "s", 30), (None, "s", 30), (None, "s", 101)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id bigint, source string, n_tokens bigint, tokens int")
-    got = C.fill(df, {"a": 100, "b": 64}).collect()
+    specs = {"a": 100, "b": 64}
+    made = C.salted(df, specs)
+    solved = C.solutions(made, specs)
+    got = C.fill(made, specs, solved).collect()
+    report = {r.container: r for r in C.report(C.fill(made, specs, solved), specs, solved).collect()}
+    for c in specs:
+        assert report[c].lp_bound - 1e-6 <= report[c].n_bins <= report[c].greedy_bins and report[c].tokens == sum(r[2] for r in rows)
     space, whole, parts = defaultdict(int), defaultdict(int), defaultdict(set)
     for r in got:
         space[r.container, r.bin_no] += r.tokens
@@ -36,7 +73,10 @@ def test_fill(spark):
     for c, n in (("a", 100), ("b", 64)):
         assert Counter(v for k, v in whole.items() if k[0] == c) == Counter(r[2] for r in rows)
         assert all(len(parts[k]) == max(1, -(-whole[k] // n)) for k in whole if k[0] == c)
-    assert C.fill(df.limit(0), {"a": 100}).count() == 0
+    none = C.salted(df.limit(0), {"a": 100})
+    nothing = C.solutions(none, {"a": 100})
+    assert C.fill(none, {"a": 100}, nothing).count() == 0
+    assert C.report(C.fill(none, {"a": 100}, nothing), {"a": 100}, nothing).first().n_bins == 0
 
 
 def test_pivot_keeps_tokens():
@@ -60,7 +100,9 @@ def test_mix(spark):
     assert len(used) == len(rows)
     assert all(used[i] <= (targets[s][1] if s in targets else 0) and (n > 0 or not used[i]) for i, s, n in rows)
     shares = {r.source: r.actual_share for r in M.shares(got, targets).collect()}
-    assert abs(shares["a"] - 0.5) < 0.005 and abs(shares["b"] - 0.3) < 0.005 and abs(shares["c"] - 0.2) < 0.005
+    assert shares["none"] == 0.0 and all(abs(shares[s] / x - 1) < 0.001 for s, x in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    less = M.shares(M.mix_sources(df, targets, total=30_000), targets).collect()
+    assert abs(sum(r.used_tokens for r in less) - 30_000) < 300
     assert M.mix_sources(df.limit(0), targets).count() == 0
     assert M.mix_sources(df, {}).agg({"n_uses": "max"}).first()[0] == 0
 
@@ -73,3 +115,14 @@ def test_counts(records):
     assert [got[i].n_tokens for i in range(4)] == [len(enc.encode_ordinary(t)) for t in texts]
     assert enc.decode(enc.encode_ordinary(texts[1])) == texts[1]
     assert got[9].n_tokens == 0 and got[10].n_tokens == 0 and got[0].source == "s" and got[9].source is None
+
+
+def test_long_records_do_not_move_shares(spark):
+    rng = random.Random(21)
+    rows = [(i, "abc"[i % 3], int(rng.lognormvariate(4, 1.6)) + 1) for i in range(900)] + [(1000 + i, "abc"[i], 9000) for i in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, source string, n_tokens bigint").repartition(5).cache()
+    for seed in range(6):
+        targets = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 3)}
+        got = M.mix_sources(df, targets, seed)
+        assert all(r.n_uses <= targets[r.source][1] for r in got.collect())
+        assert all(abs(r.actual_share / r.target_share - 1) < 0.01 for r in M.shares(got, targets).collect())
