@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from quillspark.llm import residue as R
@@ -31,7 +34,7 @@ def test_place_and_coverage():
 
 
 def test_neighbours_do_not_mix():
-    got, _ = R.localise(["Some plain words here", "Lorem ipsum dolor sit amet", "x", "", None, "Some plain words here"], MODEL)
+    got, _ = R.localise(["A copy of the award", "Lorem ipsum dolor sit amet", "x", "", None, "A copy of the award"], MODEL)
     assert [bool(g) for g in got] == [False, True, False, False, False, False]
 
 
@@ -48,5 +51,70 @@ def test_copies_of_a_page_are_no_prose(records):
     many = [(1000 + i, page, "s", "en") for i in range(3000)]
     want = R.fit_on(records([*own, many[0]]), {"text": "text"})
     got = R.fit_on(records(many + own), {"text": "text"})
-    assert (got == want).all() and (got == R.fit_on(records(own + many), {"text": "text"})).all()
+    same = lambda a, b: np.array_equal(a, b, equal_nan=True)
+    assert same(got, want) and same(got, R.fit_on(records(own + many), {"text": "text"}))
     assert {r.id for r in R.find_residue(records(many + own), "rec_id", {"text": "text"}).collect()} == {i for i, *_ in many}
+
+
+#: Notices and filler that no phrase of the model was written from.
+HELD_OUT = [
+    'HTTP 410 Gone',
+    'Your connection is not private',
+    'TODO: write this section',
+    'Verify you are human by completing the action below.',
+    'This webpage is not available at the moment, kindly retry afterwards.',
+    "We couldn't find what you were looking for.",
+    'Hmm, that page has gone missing.',
+    'The portal is undergoing routine upkeep and will return shortly.',
+    'Sorry, we are having trouble loading this content right now.',
+    'To continue, switch on JavaScript in the options of your web browser.',
+    "This feature won't run unless scripts are permitted.",
+    'Cookies are switched off; turn them on to sign in.',
+    'Our systems detected too much traffic from your computer.',
+    'The download link you followed is dead.',
+    'You must be signed in to open this document.',
+    'An unhandled exception was thrown while processing your request.',
+    'Unable to establish connection to the remote host.',
+    'Reached the maximum number of retries, giving up.',
+    'Server returned an empty response.',
+    'The token provided has expired, please authenticate again.',
+    'This is some dummy copy to fill the layout.',
+    'Put a short description of the item here.',
+    'Enter your heading and body copy in this box.',
+    'Insert paragraph text at this point.',
+    'Lorem ipsum sit amet magna consectetur quis nostrud tempor.',
+    'This space reserved for future content.',
+    'Page under development, come back later.',
+    'Nothing has been published on this page yet.',
+    'Add the introduction here before publishing.',
+    'example example example heading',
+    'The video player requires a newer browser version.',
+    'If you are not redirected automatically, follow this link.',
+    'Please disable your ad blocker and reload.',
+    'We use cookies to improve your browsing experience.',
+    'Error loading data from the API endpoint.',
+    'Sorry, an internal problem stopped the page from being shown.',
+    'Timed out waiting for the database server to reply.',
+    'Your login attempt failed, check the password and retry.',
+    "404 - we can't seem to find that file",
+    'Failed to fetch resource: network unreachable',
+    'पृष्ठ लोड नहीं हो सका, कृपया दोबारा प्रयास करें',
+    'यह वेबसाइट अभी उपलब्ध नहीं है',
+    'ಪುಟವನ್ನು ತೆರೆಯಲು ಸಾಧ್ಯವಾಗಲಿಲ್ಲ, ದಯವಿಟ್ಟು ಮತ್ತೆ ಪ್ರಯತ್ನಿಸಿ',
+    'பக்கத்தை ஏற்ற முடியவில்லை, மீண்டும் முயற்சிக்கவும்',
+    'पान लोड होऊ शकले नाही, कृपया पुन्हा प्रयत्न करा',
+]
+
+
+def test_held_out_notices(spark):
+    assert not {h.lower().rstrip(".") for h in HELD_OUT} & {x.lower().rstrip(".") for x in R.seeds()}
+    records = spark.read.parquet("/root/testdata/sf0.01/aiscript.parquet")
+    model = R.fit_on(records, {"text": "full_text_content"})
+    alone = sum(bool(x) for x in R.localise(HELD_OUT, model)[0]) / len(HELD_OUT)
+    texts = [r[0] for r in records.select("full_text_content").filter("length(full_text_content) > 1500").orderBy("rec_id").collect()]
+    clean = [t for t, s in zip(texts, R.localise(texts, model)[0]) if not s]
+    assert len(clean) > 0.8 * len(texts)
+    around = random.Random(3).sample(clean, len(HELD_OUT))
+    inside = sum(bool(x) for x in R.localise([f"{t[:700]} {h} {t[700:1400]}" for t, h in zip(around, HELD_OUT)], model)[0]) / len(HELD_OUT)
+    print(alone, inside)
+    assert alone >= 0.8 and inside >= 0.7
