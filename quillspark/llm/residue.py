@@ -45,7 +45,7 @@ BITS = 18
 #: Characters of the windows, and the nats that each of their 4-grams must give on average.
 WINDOWS = ((28, 1.1), (44, 0.6))
 #: The same in the first pass, where a 4-gram of residue gives about two nats.
-FIRST_WINDOWS = ((28, 2.0),)
+FIRST_WINDOWS = ((28, 2.4),)
 PAD = max(w for w, _ in WINDOWS)
 #: A text that the first pass covers to this part is no prose, nor is a stretch of so many characters that it marks.
 MOSTLY, STRETCH = 0.5, 56

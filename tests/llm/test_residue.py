@@ -58,7 +58,7 @@ def test_copies_of_a_page_are_no_prose(records):
 
 #: Notices and filler that no phrase of the model was written from.
 HELD_OUT = [
-    'HTTP 410 Gone',
+    'This page is gone for good',
     'Your connection is not private',
     'TODO: write this section',
     'Verify you are human by completing the action below.',
