@@ -55,7 +55,7 @@ def p2_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """How often each source truncates."""
+    """How often each source truncates, by the verdict of ``p2_found``."""
     return truncation.truncation_report(_inspected(spark, d))
 
 
