@@ -46,7 +46,7 @@ LEAST, RATIO, AROUND = 8, 8.0, 25
 #: Prior chance of a cut away from limits, and the most that a limit gives.
 BASE, SUREST = 0.1, 0.98
 #: Log-odds that a mark of omission adds.
-MARKED = 3.0
+MARKED = 1.5
 #: Values that the model of endings is fitted on, and places of each that stand for cuts.
 SAMPLE, PLACES = 6000, 4
 WIDTH = 1 << 14
