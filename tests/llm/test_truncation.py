@@ -10,7 +10,7 @@ WHOLE = [
 CUT = ["The sum is d", "The sum is due and", "The sum is due to the ...", "The sum is due to the…", "The sum is due [more", "The sum is due (contd", "The sum is due and\n", "The sum is du�", "The sum of Rs.", "It ends. (See section 4.", "It ends.\n\n3.", "The sum,", "It ends.\n\nTotal fees: Rs. 2"]
 
 
-RARE = ["It ends.\n\nSd/-\nUnder Secretary to Government", "It ends. (See section 4.", "It ends.\n\nTotal fees: Rs. 2"]
+RARE = ["The sum is due....", "It ends.\n\nSd/-\nUnder Secretary to Government", "It ends. (See section 4.", "It ends.\n\nTotal fees: Rs. 2"]
 
 
 def cases(texts):
