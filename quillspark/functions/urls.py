@@ -77,9 +77,10 @@ def saved_name(url: Column, pos: Column, any_case: bool = False) -> Column:
 
 
 def unquoted_name(url: Column) -> Column:
-    """What follows the last slash, query included, percent escapes decoded where they are valid."""
+    """What follows the last slash, query included; valid percent escapes are decoded, others stay as they are."""
     raw = F.substring_index(url, "/", -1)
-    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    whole = F.regexp_replace(F.replace(raw, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), raw)
 
 
 def safe_name(name: Column) -> Column:
@@ -97,19 +98,21 @@ def stem(name: Column) -> Column:
 
 
 def page_urls(url: Column, max_pages: Column) -> Column:
-    """Guessed addresses of pages 2 to ``max_pages``, five at most: ``page=N`` and ``/page/N`` for each."""
-    plain = F.regexp_replace(url, r"[?#].*\z", "")
+    """Guessed addresses of pages 2 to ``max_pages``, five at most: all ``page=N``, then all ``/page/N``.
+
+    The query form keeps path and fragment and adds to the query; the path form keeps query and fragment.
+    """
+    fragment = F.regexp_extract(url, r"#.+\z", 0)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    plain = F.regexp_replace(url, r"[?#].*\z", "")
+    asked = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    folder = F.when(plain.endswith("/"), plain).otherwise(F.concat(plain, F.lit("/")))
     last = F.least(max_pages, F.lit(5))
     numbers = F.when(last >= 2, F.sequence(F.lit(2), F.greatest(last, F.lit(2)))).otherwise(F.array().cast("array<int>"))
-
-    def both(n: Column) -> Column:
-        s = n.cast("string")
-        by_query = F.concat(plain, F.lit("?"), F.when(query == "", F.lit("")).otherwise(F.concat(query, F.lit("&"))), F.lit("page="), s)
-        by_path = F.concat(F.regexp_replace(plain, r"/+\z", ""), F.lit("/page/"), s)
-        return F.array(by_query, by_path)
-
-    return F.flatten(F.transform(numbers, both))
+    more = F.when(query == "", F.lit("")).otherwise(F.concat(query, F.lit("&")))
+    by_query = F.transform(numbers, lambda n: F.concat(plain, F.lit("?"), more, F.lit("page="), n.cast("string"), fragment))
+    by_path = F.transform(numbers, lambda n: F.concat(folder, F.lit("page/"), n.cast("string"), asked, fragment))
+    return F.concat(by_query, by_path)
 
 
 def clamp_pages(text: Column) -> Column:

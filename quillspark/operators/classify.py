@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.strings import squeeze_name
 from quillspark.functions.urls import prefixed
-from quillspark.operators.links import hrefs
+from quillspark.operators.links import attribute, hrefs, tags
 
 DIRECT, DRIVE, VIEWER, NOTHING = "Direct PDF", "Google Drive", "Scribd Viewer", "Not Found"
 
@@ -24,9 +24,8 @@ def first_pdf(html: Column, suffix: bool) -> Column:
 
 def drive_link(html: Column) -> Column:
     """The address of the first drive frame, else of the first drive anchor."""
-    by_src = F.regexp_extract(html, r'(?is)<(?:iframe|a)\b[^>]*?\bsrc\s*=\s*"([^"]*drive\.google\.com[^"]*)"', 1)
-    by_href = F.regexp_extract(html, r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*drive\.google\.com[^"]*)"', 1)
-    return F.coalesce(_empty_to_null(by_src), _empty_to_null(by_href))
+    first = lambda own, name: F.get(F.filter(F.transform(own, lambda t: attribute(t, name)), lambda v: F.contains(v, F.lit("drive.google.com"))), F.lit(0))
+    return F.coalesce(first(tags(html, "iframe|a"), "src"), first(tags(html, "a"), "href"))
 
 
 def drive_id(url: Column) -> Column:
@@ -39,8 +38,8 @@ def drive_download(file_id: Column) -> Column:
 
 def viewer(html: Column) -> Column:
     """The source of the first embedded viewer, ``""`` if it has none; null without a viewer."""
-    tag = F.regexp_extract(html, r'(?is)<iframe\b[^>]*\bclass\s*=\s*"[^"]*\bscribd_iframe_embed\b[^"]*"[^>]*>', 0)
-    return F.when(tag != "", F.regexp_extract(tag, r'(?is)\bsrc\s*=\s*"([^"]*)"', 1))
+    own = F.filter(tags(html, "iframe"), lambda t: F.array_contains(F.split(F.coalesce(attribute(t, "class"), F.lit("")), r"\s+"), "scribd_iframe_embed"))
+    return F.when(F.size(own) > 0, F.coalesce(attribute(F.get(own, F.lit(0)), "src"), F.lit("")))
 
 
 def classify(pages: DataFrame, site: str = "") -> DataFrame:

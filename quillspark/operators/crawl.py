@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from quillspark.session import cut
 
 
-def next_page_closure(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
-    """``start, url, depth``: the pages on the chain from each start, at most ``most`` steps.
+def next_page_closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """``start, url, depth``: the pages on the chain from each start, the whole chain or at most ``most`` steps.
 
-    ``edges`` has ``url, next``; a chain that comes back to a page ends there. Each step is a
-    join on the address with the chains that still go on; steps are written to the shared
-    checkpoint folder, so a long chain has a short lineage.
+    ``edges`` has ``url, next``; a chain that comes back to a page ends there. Jumps of twice the
+    length join what has been reached in each round, so a chain of n pages takes log2(n) rounds,
+    each written to the shared checkpoint folder.
     """
-    hops = edges.filter("next is not null").select("url", "next")
-    front = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"))
-    seen = cut(front)
-    front = seen
-    for depth in range(1, most + 1):
-        step = front.join(hops, "url").select("start", F.col("next").alias("url"), F.lit(depth).alias("depth"))
-        front = cut(step.join(seen.select("start", "url"), ["start", "url"], "left_anti").distinct())
-        if front.isEmpty():
+    jump = cut(edges.filter("next is not null").select("url", F.col("next").alias("to")).distinct())
+    seen = cut(starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("depth")).distinct())
+    n, length = seen.count(), 1
+    while most is None or length <= most:
+        further = seen.join(jump, "url").select("start", F.col("to").alias("url"), (F.col("depth") + length).alias("depth"))
+        seen = cut(seen.union(further).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+        now = seen.count()
+        if now == n:
             break
-        seen = cut(seen.union(front)) if depth % 8 == 0 else seen.union(front)
-    return seen
+        n, length = now, length * 2
+        onward = jump.withColumnRenamed("to", "middle").join(jump.select(F.col("url").alias("middle"), "to"), "middle")
+        jump = cut(onward.select("url", "to").distinct())
+    return seen if most is None else seen.filter(F.col("depth") <= most)
 
 
 def bounded_crawl(links: DataFrame, starts: DataFrame, budget: int, per_page: int = 3) -> DataFrame:

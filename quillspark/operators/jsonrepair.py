@@ -40,6 +40,7 @@ full_text_content STRING
 
 #: The marks of a fallback record.
 FALLBACK_TITLE = "Raw Content - JSON Parse Failed"
+REPAIR_NOTE = "JSON was automatically repaired"
 FALLBACK_PURPOSE = "Content extraction encountered JSON parsing issues"
 
 #: Rewrites of the light and of the thorough repair, in order.
@@ -108,6 +109,24 @@ def parse_replies(replies: DataFrame, text_col: str = "response_text", method_co
     return parsed.select("*", "p_.status", "p_.json", "p_.note", F.concat(F.col(method_col), suffix).alias("method_resolved")).drop("p_")
 
 
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def stamp(at: Column | None = None) -> Column:
+    """A time as text; the present one by default."""
+    return F.date_format(F.current_timestamp() if at is None else at, STAMP)
+
+
+def metadata(at: Column | None = None) -> Column:
+    """``processing_method, processed_timestamp, note`` of a parsed reply; null where the reply is no object.
+
+    The note says that a reply was repaired, or why it fell back.
+    """
+    note = F.when(F.col("status") == REPAIRED, F.lit(REPAIR_NOTE)).when(F.col("status") == FALLBACK, F.col("note"))
+    made = F.struct(F.col("method_resolved").alias("processing_method"), stamp(at).alias("processed_timestamp"), note.alias("note"))
+    return F.when(F.col("status").isin(PARSED, REPAIRED, FALLBACK), made)
+
+
 def fallback_record(text: Column, note: Column) -> Column:
     """The record that stands for a reply which could not be read."""
     na = F.lit("N/A")

@@ -1,19 +1,46 @@
-"""Links of pages: extraction, predicates, onclick and script targets, order and duplicates."""
+"""Links of pages: extraction, predicates, onclick and script targets, order and duplicates.
+
+Tags are read natively: comments and the bodies of scripts and styles are taken out first, an
+attribute may be in double, in single or in no quotes, and character references in values are
+decoded. Where nesting matters (tables, lists, descendants) ``operators.html`` parses the page.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
-ONCLICK = r'(?is)\bonclick\s*=\s*"([^"]*)"'
-SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script>"
+from quillspark.functions.strings import unescape
+
+#: The inside of a tag: quoted values may hold ``>``.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 QUOTED_PDF = r"""(?iu)['"]([^'"]*\.pdf[^'"]*)['"]"""
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+
+
+def visible(html: Column) -> Column:
+    """A page without comments, scripts and styles, whose text is no markup."""
+    return F.regexp_replace(html, _HIDDEN, "")
+
+
+def tags(html: Column, names: str = r"[a-z][a-z0-9]*") -> Column:
+    """The start tags of the named elements (a pattern), in document order."""
+    return F.regexp_extract_all(visible(html), F.lit(rf"(?is)<(?:{names})(?=[\s/>]){_INSIDE}>"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a start tag, decoded; null if the tag has none."""
+    # earlier attributes are passed over whole, so that a name inside a quoted value is none
+    before = r"""(?is)^<[^\s/>]+(?:[\s/]+[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?[\s/]+"""
+    value = lambda k: F.regexp_extract(tag, rf"""{before}{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k)
+    bare = F.when(tag.rlike(rf"{before}{name}(?=[\s/>])"), F.lit(""))
+    return F.when(tag.rlike(rf"{before}{name}\s*="), unescape(F.concat(value(1), value(2), value(3)))).otherwise(bare)
 
 
 def hrefs(html: Column) -> Column:
     """The ``href`` of every anchor in document order, duplicates kept."""
-    return F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+    return F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
 
 
 def is_pdf_link(href: Column, mode: str = "contains") -> Column:
@@ -28,8 +55,8 @@ def _quoted_in(parts: Column) -> Column:
 
 
 def onclick_targets(html: Column) -> Column:
-    """Quoted ``.pdf`` strings in ``onclick`` attributes."""
-    handlers = F.regexp_extract_all(html, F.lit(ONCLICK), F.lit(1))
+    """Quoted ``.pdf`` strings in ``onclick`` attributes of any element."""
+    handlers = F.transform(F.filter(tags(html), lambda t: F.contains(F.lower(t), F.lit("onclick"))), lambda t: attribute(t, "onclick"))
     return _quoted_in(F.filter(handlers, lambda x: F.contains(F.lower(x), F.lit(".pdf"))))
 
 

@@ -42,8 +42,11 @@ def _some(info: Column) -> Column:
     return info.isNotNull() & (F.to_json(info) != "{}")
 
 
-def merge_chunks(typed: DataFrame, key: str = "doc_id", order: str = "chunk_no") -> DataFrame:
-    """The merged record of each document; lists of entities are sorted, key points keep their order."""
+def merge_chunks(typed: DataFrame, key: str = "doc_id", order: str = "chunk_no", more: tuple[Column, ...] = ()) -> DataFrame:
+    """The merged record of each document; lists of entities are sorted, key points keep their order.
+
+    ``more`` are further aggregates of the same exchange.
+    """
     r = F.col("record")
     main = r["main_content"]
     pos = F.col(order)
@@ -59,6 +62,7 @@ def merge_chunks(typed: DataFrame, key: str = "doc_id", order: str = "chunk_no")
         _text(r["full_text_content"], order, "\n\n").alias("full_text_content"),
         F.lit("multi_chunk").alias("processing_method"),
         F.count("*").cast("int").alias("total_chunks"),
+        *more,
     )
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import strings, urls
 from quillspark.operators import chunking, classify, crawl, html, jsonrepair, links, merge, pipeline, report, shred
 from quillspark.plans import fixtures
+from quillspark.sources import remote
 from quillspark.sources.fetch import lookup
 from quillspark.sources.files import inventory
+from quillspark.sources.sinks import as_json
 from quillspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,37 +211,118 @@ def host_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/handle/' || page_id AS href FROM x WHERE html IS NOT NULL")
 def table_row_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixtures.make(spark, d, fixtures.LISTING)
-    return pages.select("page_id", F.explode(html.panel_links(F.col("html"))).alias("href"))
+    pages = html.parsed(fixtures.make(spark, d, fixtures.LISTING))
+    return pages.select("page_id", F.explode(html.panel_links(F.col("elements"))).alias("href"))
 
 
 @_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/bare-acts/' || page_id AS href, 'The Water & Land Act' AS text FROM x WHERE html IS NOT NULL")
 def container_links(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixtures.make(spark, d, fixtures.LISTING)
-    return pages.select("page_id", F.inline(html.anchors(html.container(F.col("html"), "ul", "act_child_list"))))
+    pages = html.parsed(fixtures.make(spark, d, fixtures.LISTING))
+    return pages.select("page_id", F.inline(html.container_links(F.col("elements"), "ul", "act_child_list")))
 
 
 @_query(f"WITH x AS ({fixtures.LISTING}) SELECT page_id, '/browse?p=' || (page_id % 7) AS href FROM x WHERE page_id % 7 > 1")
 def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixtures.make(spark, d, fixtures.LISTING)
-    return pages.select("page_id", F.explode(html.numbered_pages(F.col("html"))).alias("href"))
+    pages = html.parsed(fixtures.make(spark, d, fixtures.LISTING))
+    return pages.select("page_id", F.explode(html.numbered_pages(F.col("elements"))).alias("href"))
 
 
 @_query(f"""WITH RECURSIVE x AS ({fixtures.LISTING}), e AS (SELECT url, nullif(regexp_extract(html, 'title="Next Page" href="([^"]*)"', 1), '') AS next FROM x),
 c AS (SELECT url AS start, url, 0 AS depth FROM e UNION ALL SELECT start, e.next, depth + 1 FROM c JOIN e ON c.url = e.url WHERE e.next IS NOT NULL AND depth < 20)
 SELECT start, url, depth FROM c""")
 def next_page_closure(spark: SparkSession, d: str) -> DataFrame:
-    pages = fixtures.make(spark, d, fixtures.LISTING).select("url", html.next_page(F.col("html")).alias("next"))
-    return crawl.next_page_closure(pages, pages.select("url"), 20)
+    pages = html.parsed(fixtures.make(spark, d, fixtures.LISTING)).select("url", html.next_page(F.col("elements")).alias("next"))
+    return crawl.next_page_closure(pages, pages.select("url"))
 
 
-@_query("""WITH n AS (SELECT page_id, url, unnest([2, 3, 4, 5]) AS n FROM page)
-SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?' || CASE WHEN contains(url, '?') AND regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN regexp_extract(url, '\\?([^#]*)', 1) || '&' ELSE '' END || 'page=' || n AS page_url FROM n
-UNION ALL SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || '/page/' || n FROM n""")
+@_query("""WITH n AS (SELECT page_id, url, unnest([2, 3, 4, 5]) AS n, strpos(url, '#') AS h FROM page),
+u AS (SELECT page_id, n, CASE WHEN h > 0 THEN left(url, h - 1) ELSE url END AS bare, CASE WHEN h > 0 AND h < length(url) THEN substr(url, h) ELSE '' END AS fragment FROM n),
+v AS (SELECT page_id, n, fragment, split_part(bare, '?', 1) AS place, CASE WHEN contains(bare, '?') THEN substr(bare, strpos(bare, '?') + 1) ELSE '' END AS query FROM u)
+SELECT page_id, place || '?' || CASE WHEN query = '' THEN '' ELSE query || '&' END || 'page=' || n || fragment AS page_url FROM v
+UNION ALL SELECT page_id, CASE WHEN right(place, 1) = '/' THEN place ELSE place || '/' END || 'page/' || n || CASE WHEN query = '' THEN '' ELSE '?' || query END || fragment FROM v""")
 def pagination_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page").select("page_id", F.explode(urls.page_urls(F.col("url"), F.lit(7))).alias("page_url"))
 
 
+@_query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/s/' || page_id || '.pdf' WHEN 1 THEN '/u/' || page_id || '.pdf' WHEN 2 THEN '/q?a=1&b=' || page_id || '.pdf/€' WHEN 3 THEN '/yes/' || page_id || '.pdf' WHEN 4 THEN '/t/' || page_id || '.pdf' ELSE '/c/' || page_id || '.pdf' END AS target FROM page""")
+def link_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Links in any quotes, with references, beside comments and scripts that hold none; onclick handlers in single quotes."""
+    return links.pdf_targets(fixtures.make(spark, d, fixtures.MARKUP), lambda url, h: h).select("page_id", "target")
+
+
+@_query("SELECT page_id, '/deep/' || page_id AS href FROM page UNION ALL SELECT page_id, '/second/' || page_id FROM page")
+def nested_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that hold a table of their own."""
+    pages = html.parsed(fixtures.make(spark, d, fixtures.NESTED))
+    return pages.select("page_id", F.explode(html.panel_links(F.col("elements"))).alias("href"))
+
+
+@_query("""WITH p AS (SELECT page_id FROM page WHERE page_id % 3 <> 0) SELECT page_id, '/one' AS href, 'First <Act>' AS text, CAST(NULL AS VARCHAR) AS missing FROM p
+UNION ALL SELECT page_id, '/two/' || page_id, 'Second Act', NULL FROM p UNION ALL SELECT page_id, '/three', 'Third', NULL FROM p
+UNION ALL SELECT page_id, NULL, NULL, 'no ul with id act_child_list' FROM page WHERE page_id % 3 = 0""")
+def nested_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists in lists, and a row for each page without its list."""
+    pages = html.parsed(fixtures.make(spark, d, fixtures.NESTED))
+    found = F.col("elements")
+    own = pages.select("page_id", F.inline_outer(html.container_links(found, "ul", "act_child_list")), html.missing_container(found, "ul", "act_child_list").alias("missing"))
+    return own
+
+
+@_query("""SELECT page_id, CASE page_id % 13 WHEN 0 THEN '/x?page=' WHEN 1 THEN '/x?p=' WHEN 2 THEN '/x?offset=' WHEN 3 THEN '/x?start=' WHEN 11 THEN '/m/next/' ELSE '/m' END || page_id AS href FROM page""")
+def pagination_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links that page on, by each of the marks."""
+    pages = html.parsed(fixtures.make(spark, d, fixtures.PAGER))
+    return pages.select("page_id", F.explode(html.pagination_links(F.col("elements"))).alias("href"))
+
+
+@_query("""SELECT page_id, pos, CASE WHEN href = '' THEN 'https://www.nadupura-acts.example' WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN 'https:' || href
+  WHEN href LIKE '/%' THEN 'https://www.nadupura-acts.example' || href WHEN href LIKE '?%' OR href LIKE '#%' THEN 'https://www.nadupura-acts.example' || href
+  WHEN href LIKE '../%' THEN 'https://www.nadupura-acts.example/' || substr(href, 4) ELSE 'https://www.nadupura-acts.example/' || href END AS site_abs FROM link WHERE href IS NOT NULL""")
+def link_from_site(spark: SparkSession, d: str) -> DataFrame:
+    """Links seen from the site's root instead of their page."""
+    return table(spark, d, "link").filter("href is not null").select("page_id", "pos", urls.resolve(F.lit(SITE), F.col("href")).alias("site_abs"))
+
+
+@_query("SELECT page_id, min_by(href, pos) FILTER (WHERE contains(href, '.pdf')) AS by_part, min_by(href, pos) FILTER (WHERE lower(href) LIKE '%.pdf') AS by_end FROM (" + _ALL_LINKS.format(pages="page") + ") l GROUP BY page_id")
+def first_pdf(spark: SparkSession, d: str) -> DataFrame:
+    """The first link of a page that has ``.pdf`` anywhere, and the first that ends in it in any case."""
+    h = F.col("html")
+    return table(spark, d, "page").filter(F.size(links.hrefs(h)) > 0).select("page_id", classify.first_pdf(h, False).alias("by_part"), classify.first_pdf(h, True).alias("by_end"))
+
+
+@_query("""SELECT page_id, pos, CASE WHEN starts_with(href, 'http://') OR starts_with(href, 'https://') THEN href ELSE 'https://' || href END AS with_scheme, 'pdfs/' || regexp_extract(regexp_replace(abs_url, '[?#].*$', ''), '[^/]*$') AS saved_path,
+  NOT (contains(lower(coalesce(abs_url, '')), 'pdf') OR pos % 3 = 0) AS suspect FROM link WHERE href IS NOT NULL AND abs_url LIKE 'http%/%/%'""")
+def link_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Links with a scheme, the path they are saved under, and whether neither address nor content type (of every third) speaks of a PDF."""
+    own = table(spark, d, "link").filter("href is not null and abs_url like 'http%/%/%'")
+    u = F.col("abs_url")
+    kind = F.when(F.col("pos") % 3 == 0, F.lit("Application/PDF")).otherwise(F.lit("text/html"))
+    return own.select("page_id", "pos", urls.with_scheme(F.col("href")).alias("with_scheme"), urls.joined("pdfs", urls.base_name(u)).alias("saved_path"), pipeline.is_suspect(u, kind).alias("suspect"))
+
+
+@_query("""WITH a AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN ' YES ' WHEN 1 THEN 'y' WHEN 2 THEN 'no' WHEN 3 THEN '' ELSE 'yep' END AS answer,
+  CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'many' ELSE CAST(page_id AS VARCHAR) END AS number FROM page)
+SELECT page_id, page_id % 5 < 2 AS download, coalesce(TRY_CAST(number AS DOUBLE), 3.0) AS delay, CAST(greatest(1, least(20, coalesce(TRY_CAST(number AS INTEGER), 5))) AS INTEGER) AS max_pages, greatest(1.0, coalesce(TRY_CAST(number AS DOUBLE), 2.0)) AS crawl_delay,
+  'line ' || page_id || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || 'more' ELSE '' END AS prompt FROM a""")
+def parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a dialogue: flags, numbers with defaults and bounds, a prompt that two empty lines end."""
+    asked = spark.sql(f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN ' YES ' WHEN 1 THEN 'y' WHEN 2 THEN 'no' WHEN 3 THEN '' ELSE 'yep' END AS answer,
+      CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'many' ELSE CAST(page_id AS STRING) END AS number,
+      concat('line ', page_id, CASE WHEN page_id % 2 = 0 THEN concat(chr(10), chr(10), 'more') ELSE '' END, CASE WHEN page_id % 3 = 0 THEN concat(chr(10), chr(10), chr(10), 'not read') ELSE '' END) AS typed FROM parquet.`{d}/page.parquet`""")
+    n = F.col("number")
+    return asked.select("page_id", strings.yes(F.col("answer")).alias("download"), strings.number_or(n, 3.0).alias("delay"), urls.clamp_pages(n).alias("max_pages"), urls.clamp_delay(n).alias("crawl_delay"), strings.prompt_lines(F.col("typed")).alias("prompt"))
+
+
+#: A crawl in SQL: one step of the queue for each visited page, with the lists of visited and waiting pages as its state.
+_CRAWL_SQL = """WITH RECURSIVE best AS (SELECT url, target, min(pos) AS pos FROM (SELECT p.url, l.pos, l.abs_url AS target FROM link l JOIN page p ON l.page_id = p.page_id WHERE l.abs_url IS NOT NULL) l GROUP BY url, target),
+level AS (SELECT 0 AS depth, [url] AS front, [url] AS seen FROM page WHERE page_id = 1
+  UNION ALL SELECT depth + 1, new, list_concat(seen, new) FROM (SELECT depth, seen, (SELECT list_slice(list(target ORDER BY by_, pos, target), 1, 50 - len(seen)) FROM (
+      SELECT target, min(by_) AS by_, min_by(pos, by_ * 100000 + pos) AS pos FROM (
+        SELECT target, list_position(front, b.url) AS by_, pos, row_number() OVER (PARTITION BY b.url ORDER BY pos, target) AS k FROM best b WHERE list_contains(front, b.url) AND NOT list_contains(seen, target)) c WHERE k <= 3 GROUP BY target) t) AS new
+    FROM level WHERE len(seen) < 50) s WHERE len(new) > 0)
+SELECT unnest(front) AS url, depth, CAST(len(seen) - len(front) + generate_subscripts(front, 1) - 1 AS INTEGER) AS rank FROM level"""
+
+
 @_query()
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
     """A breadth-first crawl over the link table, 50 pages at most, three new links from each."""
@@ -348,15 +431,68 @@ def merge_scalars(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).select("file_id", F.col("document_info.title").alias("title"), F.col("main_content.purpose").alias("purpose"), F.col("main_content.summary").alias("summary"), F.col("full_text_content").alias("full_text"), "total_chunks")
 
 
-@_query(f"""WITH v AS ({_CHUNK_VALUES}) SELECT file_id, coalesce(string_agg('a' || doc_id, '|' ORDER BY chunk_no) FILTER (WHERE NOT is_error AND NOT fell), '') AS action_items FROM v GROUP BY file_id""")
+_IN_ORDER = "coalesce(string_agg({}, '|' ORDER BY chunk_no) FILTER (WHERE NOT is_error AND NOT fell), '')"
+
+
+@_query(f"""WITH v AS ({_CHUNK_VALUES}) SELECT file_id, {_IN_ORDER.format("'a' || doc_id")} AS action_items, {_IN_ORDER.format("'t' || doc_id")} AS sections, {_IN_ORDER.format("'r' || doc_id")} AS rules,
+  {_IN_ORDER.format("'v' || doc_id || '|w'")} AS violations, {_IN_ORDER.format("'e' || doc_id")} AS terms FROM v GROUP BY file_id""")
 def merge_arrays(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).select("file_id", F.array_join("action_items", "|").alias("action_items"))
+    """The five lists of a record, chunk by chunk."""
+    joined = lambda x: F.array_join(x, "|")
+    return _merged(spark, d).select(
+        "file_id", joined("action_items").alias("action_items"), joined(F.col("detailed_sections.section_title")).alias("sections"), joined(F.col("rules_and_provisions.rule")).alias("rules"),
+        joined(F.col("penalties_and_consequences.violation")).alias("violations"), joined(F.col("definitions.term")).alias("terms"),
+    )
 
 
-@_query(f"""WITH v AS ({_CHUNK_VALUES}), n AS (SELECT DISTINCT file_id, 'n' || (doc_id % 5) AS person FROM v WHERE NOT is_error AND NOT fell), f AS (SELECT DISTINCT file_id FROM v)
-SELECT f.file_id, coalesce(string_agg(person, '|' ORDER BY person), '') AS people FROM f LEFT JOIN n ON f.file_id = n.file_id GROUP BY f.file_id""")
+@_query(f"""WITH v AS ({_CHUNK_VALUES}), k AS (SELECT file_id, chunk_no * 2 AS o, 'k' || (doc_id % 3) AS point FROM v WHERE NOT is_error AND NOT fell UNION ALL SELECT file_id, chunk_no * 2 + 1, 'k' || (doc_id % 2) FROM v WHERE NOT is_error AND NOT fell
+  UNION ALL SELECT file_id, chunk_no * 2, unnest(['JSON parsing failed', 'Raw content available in full_text_content', 'Error: No JSON structure found']) FROM v WHERE fell),
+n AS (SELECT file_id, o, point, row_number() OVER (PARTITION BY file_id ORDER BY o, CASE left(point, 1) WHEN 'J' THEN 0 WHEN 'R' THEN 1 ELSE 2 END) AS i FROM k), u AS (SELECT file_id, point, min(i) AS i FROM n GROUP BY file_id, point), f AS (SELECT DISTINCT file_id FROM v)
+SELECT f.file_id, coalesce(string_agg(point, '|' ORDER BY i), '') AS key_points FROM f LEFT JOIN u ON f.file_id = u.file_id GROUP BY f.file_id""")
+def merge_key_points(spark: SparkSession, d: str) -> DataFrame:
+    """Key points of all chunks, each once, where it came first."""
+    return _merged(spark, d).select("file_id", F.array_join("main_content.key_points", "|").alias("key_points"))
+
+
+def _distinct(value: str) -> str:
+    return f"coalesce((SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT {value} AS x FROM v WHERE v.file_id = f.file_id AND NOT is_error AND NOT fell) t), '')"
+
+
+@_query(f"""WITH v AS ({_CHUNK_VALUES}), f AS (SELECT DISTINCT file_id FROM v)
+SELECT file_id, {_distinct("'n' || (doc_id % 5)")} AS people, {_distinct("unnest(['o' || (doc_id % 2), 'o9'])")} AS organizations, '' AS locations, {_distinct("'m' || (doc_id % 3)")} AS amounts, '' AS dates, {_distinct("'f' || doc_id")} AS "references" FROM f""")
 def merge_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).select("file_id", F.array_join("important_entities.people", "|").alias("people"))
+    """The six kinds of entities, each value once."""
+    return _merged(spark, d).select("file_id", *[F.array_join(f"important_entities.{k}", "|").alias(k) for k in merge.ENTITIES])
+
+
+@_query(f"""WITH x AS ({fixtures.REPLIES}) SELECT doc_id, 'direct_upload' || CASE WHEN doc_id % 7 IN (2, 3) THEN '_repaired' WHEN doc_id % 7 = 4 THEN '_fallback' ELSE '' END AS processing_method, '2024-02-29 23:05:09' AS processed_timestamp,
+  CASE WHEN doc_id % 7 IN (2, 3) THEN 'JSON was automatically repaired' WHEN doc_id % 7 = 4 THEN 'No JSON structure found' END AS note FROM x WHERE doc_id % 7 <> 5""")
+def reply_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata that a parsed reply is stamped with, at a given time."""
+    parsed = jsonrepair.parse_replies(fixtures.make(spark, d, fixtures.REPLIES))
+    stamped = parsed.select("doc_id", jsonrepair.metadata(F.lit("2024-02-29 23:05:09").cast("timestamp_ntz")).alias("m")).filter("m is not null")
+    return stamped.select("doc_id", "m.processing_method", "m.processed_timestamp", "m.note")
+
+
+@_query("""WITH b AS (SELECT doc_id, chr(123) || chr(39) || 'k' || chr(39) || ': ' || doc_id || ',' || chr(125) AS quoted FROM documents)
+SELECT doc_id, 'repaired' AS status, 'k' AS key, doc_id AS value FROM b WHERE doc_id % 4 < 2 UNION ALL SELECT doc_id, 'parsed', 'k', doc_id FROM b WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, 'fallback', NULL, NULL FROM b WHERE doc_id % 4 = 3""")
+def reply_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Damage of four kinds: single quotes and a comma too many; a bare key; a control character in prose (light repair is enough); nothing that can be mended."""
+    made = spark.sql(f"""SELECT doc_id, 'direct_upload' AS method, CASE doc_id % 4
+      WHEN 0 THEN concat('x {{', chr(39), 'k', chr(39), ': ', doc_id, ',}} y') WHEN 1 THEN concat('{{k: ', doc_id, '}}')
+      WHEN 2 THEN concat('Result: {{', chr(1), '}}') ELSE '{{"k" 5 [}}' END AS response_text FROM parquet.`{d}/documents.parquet`""")
+    got = jsonrepair.parse_replies(made)
+    value = F.get_json_object("json", "$.k").cast("bigint")
+    known = F.col("status") != jsonrepair.FALLBACK
+    return got.select("doc_id", "status", F.when(known, F.lit("k")).alias("key"), F.when(known, F.coalesce(value, F.col("doc_id"))).alias("value"))
+
+
+@_query("""WITH p AS (SELECT doc_id, generate_subscripts(h, 1) - 1 AS page_no, unnest(h) AS page_text FROM (SELECT doc_id, string_split(text, chr(10)) AS h FROM documents WHERE text IS NOT NULL) t)
+SELECT doc_id, regexp_replace(string_agg(page_text, chr(10) ORDER BY page_no), '^\\s+|\\s+$', '', 'g') AS text FROM p GROUP BY doc_id""")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a document from its pages (here its lines), in order."""
+    lines = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_no", "page_text"))
+    return merge.pages_to_text(lines, "doc_id", "page_no", "page_text")
 
 
 @_query()
@@ -380,11 +516,50 @@ def extract_all(spark: SparkSession, d: str) -> DataFrame:
 # ---- runs, files, logs ----------------------------------------------------------------------
 
 
-@_query("""SELECT coalesce(lower(trim(source)), '') AS source, count(*) AS total_files, count(*) AS processed_successfully, CAST(0 AS BIGINT) AS failed, count(error) AS n_error_records FROM aiscript GROUP BY 1""")
+#: A failure for every ninth record, as the tables have none.
+_FAILURE = "CASE WHEN rec_id % 9 = 4 THEN 'OSError: no space' END"
+
+
+@_query("""WITH r AS (SELECT coalesce(lower(trim(source)), '') AS source, rec_id % 9 = 4 AS lost, error FROM aiscript) SELECT source, count(*) AS total_files, count(*) FILTER (WHERE NOT lost) AS processed_successfully, count(*) FILTER (WHERE lost) AS failed, count(error) FILTER (WHERE NOT lost) AS n_error_records FROM r GROUP BY 1""")
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the run by source."""
     records = table(spark, d, "aiscript").withColumn("source", F.coalesce(F.lower(F.trim("source")), F.lit("")))
-    return report.run_summary(report.statuses(records, ("source",)), ("source",))
+    return report.run_summary(report.statuses(records, ("source",), F.expr(_FAILURE)), ("source",))
+
+
+@_query("""WITH r AS (SELECT coalesce(source_file, file) AS file, rec_id % 9 = 4 AS lost, coalesce(processing_method, 'unknown') AS method FROM aiscript WHERE document_info.type = 'act'),
+o AS (SELECT file, lost, method, CASE WHEN lost THEN 'failed' ELSE 'success' END AS status, regexp_replace(file, '(.)\\.[^.]+$', '\\1') || '_extracted.json' AS output FROM r)
+SELECT CAST(count(*) AS INTEGER) AS total_files, CAST(count(*) FILTER (WHERE NOT lost) AS INTEGER) AS processed_successfully, CAST(count(*) FILTER (WHERE lost) AS INTEGER) AS failed,
+  md5(string_agg(concat_ws('|', coalesce(file, '-'), status, CASE WHEN lost THEN '-' ELSE coalesce(output, '-') END, CASE WHEN lost THEN '-' ELSE method END, CASE WHEN lost THEN 'OSError: no space' ELSE '-' END), chr(10) ORDER BY file, status, output, method)) AS results_digest,
+  '2024-01-01 00:00:00' AS processing_started, '2024-01-01 01:02:03' AS processing_completed FROM o""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """The summary document of a run over the acts: counters, the results of all files, stamps."""
+    rows = report.statuses(table(spark, d, "aiscript").filter("document_info.type = 'act'"), (), F.expr(_FAILURE))
+    out = report.run_report(rows, F.lit("2024-01-01 00:00:00"), F.lit("2024-01-01 01:02:03"))
+    said = F.array_join(F.transform("results", lambda r: F.concat_ws("|", *[F.coalesce(r[x], F.lit("-")) for x in ("file", "status", "output", "method", "error")])), "\n")
+    return out.select("total_files", "processed_successfully", "failed", F.md5(said).alias("results_digest"), "processing_started", "processing_completed")
+
+
+@_query("""SELECT count(*) AS total, count(*) FILTER (WHERE source_url NOT LIKE '%1%') AS successful, count(*) FILTER (WHERE source_url LIKE '%1%') AS failed, sum(CASE WHEN source_url LIKE '%1%' THEN 0 ELSE length(source_url) END)::BIGINT AS n_bytes FROM download_log""")
+def download_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a download whose outcomes are made of the log."""
+    lost = F.col("source_url").like("%1%")
+    outcomes = table(spark, d, "download_log").select(F.when(lost, "failed").otherwise("success").alias("status"), F.when(lost, 0).otherwise(F.length("source_url")).alias("n_bytes"))
+    return report.download_summary(outcomes)
+
+
+@_query("""SELECT path, CASE WHEN hex(content)[1:10] = '255044462D' THEN 'ACTIVE' ELSE 'FAILED' END AS state, CASE WHEN hex(content)[1:10] = '255044462D' THEN 'files/' || regexp_extract(path, '[^/]*$') END AS result, CASE WHEN coalesce(hex(content)[1:10], '') <> '255044462D' THEN 'file processing failed: FAILED' END AS error FROM file_inventory""")
+def remote_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files handed to the offline store: put, looked at until ready, used, deleted."""
+    out = remote.upload(table(spark, d, "file_inventory"), use=lambda store, handle: handle, delay=0.0)
+    return out.select("path", "state", "result", "error")
+
+
+@_query("""SELECT to_json({'rec_id': rec_id, 'title': document_info.title, 'file': source_file, 'error': error, 'chunk': chunk}) AS json FROM aiscript""")
+def record_json(spark: SparkSession, d: str) -> DataFrame:
+    """Records as JSON objects, nulls kept."""
+    rows = table(spark, d, "aiscript").select("rec_id", F.col("document_info.title").alias("title"), F.col("source_file").alias("file"), "error", "chunk")
+    return as_json(rows, pretty=False)
 
 
 @_query("""SELECT rec_id, coalesce(source_file, file) AS file, coalesce(processing_method, 'unknown') AS method, regexp_replace(coalesce(source_file, file), '(.)\\.[^.]+$', '\\1') || '_extracted.json' AS output,
@@ -411,12 +586,13 @@ def act_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return report.reconcile(acts, table(spark, d, "view_log").filter("act_title is not null"), table(spark, d, "download_log").filter("act_title is not null"))
 
 
-@_query("""SELECT a.rec_id, a.source_file, f.length, f.n_copies FROM aiscript a JOIN (SELECT regexp_extract(path, '[^/]*$') AS file_name, max(length) AS length, count(*) AS n_copies FROM file_inventory GROUP BY 1) f ON regexp_extract(a.source_file, '[^/]*$') = f.file_name""")
+@_query("""SELECT a.rec_id, a.source_file, f.length, f.n_copies, '2024-02-29 23:05:09' AS extraction_timestamp FROM aiscript a JOIN (SELECT regexp_extract(path, '[^/]*$') AS file_name, max(length) AS length, count(*) AS n_copies FROM file_inventory GROUP BY 1) f ON regexp_extract(a.source_file, '[^/]*$') = f.file_name""")
 def file_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Records with the size of their file."""
     files = inventory(table(spark, d, "file_inventory")).groupBy("file_name").agg(F.max("length").alias("length"), F.count("*").alias("n_copies"))
     records = table(spark, d, "aiscript").select("rec_id", "source_file", F.substring_index("source_file", "/", -1).alias("file_name"))
-    return records.join(files, "file_name").select("rec_id", "source_file", "length", "n_copies")
+    at = jsonrepair.stamp(F.lit("2024-02-29 23:05:09").cast("timestamp_ntz"))
+    return records.join(files, "file_name").select("rec_id", "source_file", "length", "n_copies", at.alias("extraction_timestamp"))
 
 
 def queries() -> dict[str, Query]:

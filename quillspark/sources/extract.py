@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Model = Callable[[str], str]
 
@@ -21,24 +23,33 @@ def offline_model() -> Model:
     return reply
 
 
-def extract(prompts: DataFrame, make_model: Callable[[], Model] = offline_model, prompt_col: str = "prompt") -> DataFrame:
-    """Adds ``response_text`` and ``call_error``; the model is made once in each partition and closed there if it can be."""
-    schema = prompts.schema.simpleString()[len("struct<") : -1]
+def extract(prompts: DataFrame, make_model: Callable[[], Model] = offline_model, prompt_col: str = "prompt", delay: float = 0.0, skip: Column | None = None) -> DataFrame:
+    """Adds ``response_text`` and ``call_error``; the model is made once in each partition and closed there if it can be.
+
+    ``delay`` seconds pass between two calls of a partition; rows to ``skip`` are not called.
+    """
+    rows = prompts.withColumn("skip_", F.lit(False) if skip is None else skip)
+    schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        model, called = make_model(), False
         try:
             for b in batches:
                 replies, errors = [], []
-                for p in b[prompt_col]:
-                    try:
-                        replies.append(model(p))
-                        errors.append(None)
-                    except Exception as e:  # isolated by row
-                        replies.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
-                yield b.assign(response_text=replies, call_error=errors)
+                for p, off in zip(b[prompt_col], b["skip_"]):
+                    reply, error = None, None
+                    if not off:
+                        if delay and called:
+                            time.sleep(delay)
+                        called = True
+                        try:
+                            reply = model(p)
+                        except Exception as e:  # isolated by row
+                            error = f"{type(e).__name__}: {e}"
+                    replies.append(reply)
+                    errors.append(error)
+                yield b.drop(columns="skip_").assign(response_text=replies, call_error=errors)
         finally:
             getattr(model, "close", lambda: None)()
 
-    return prompts.mapInPandas(run, f"{schema},response_text:string,call_error:string")
+    return rows.mapInPandas(run, f"{schema},response_text string,call_error string")

@@ -36,6 +36,14 @@ def http_fetcher(timeout: float = 20.0, agent: str = "Mozilla/5.0") -> Fetcher:
     return get
 
 
+def listing(url: str, make_fetcher: Callable[[], Fetcher]) -> str:
+    """The text of the one page that a run starts from; a failure ends the run and says why."""
+    try:
+        return make_fetcher()(url).decode("utf-8", "replace")
+    except Exception as e:
+        raise RuntimeError(f"the listing {url} could not be read: {type(e).__name__}: {e}") from e
+
+
 def fetch(urls: DataFrame, make_fetcher: Callable[[], Fetcher], delay: float = 0.0, url_col: str = "url") -> DataFrame:
     """``url, body, error``; errors stay with their row, ``delay`` seconds pass between two of a partition."""
 

@@ -44,7 +44,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write_documents(records: DataFrame, folder: str, stem_col: str = "file_stem") -> DataFrame:
     """Writes ``{stem}_extracted.json`` for each record into a folder that all executors share.
 
-    Returns ``name, n_bytes``; the files exist once the result has been read.
+    Returns ``name, n_bytes, error``; the files exist once the result has been read. A record that
+    cannot be written says why and does not end the run.
     """
     options = {"ignoreNullFields": "false", "pretty": "true"}
     body = [c for c in records.columns if c != stem_col]
@@ -54,12 +55,16 @@ def write_documents(records: DataFrame, folder: str, stem_col: str = "file_stem"
         for b in batches:
             out = []
             for s, j in zip(b["stem"], b["json"]):
-                data = j.encode()
-                _put(folder, f"{s}_extracted.json", data)
-                out.append((f"{s}_extracted.json", len(data)))
-            yield pd.DataFrame(out, columns=["name", "n_bytes"])
-
-    return rows.mapInPandas(run, "name string, n_bytes bigint")
+                name = f"{s}_extracted.json"
+                try:
+                    data = j.encode("utf-8", "replace")
+                    _put(folder, name, data)
+                    out.append((name, len(data), None))
+                except OSError as e:  # isolated by row
+                    out.append((name, 0, f"{type(e).__name__}: {e.strerror}"))
+            yield pd.DataFrame(out, columns=["name", "n_bytes", "error"])
+
+    return rows.mapInPandas(run, "name string, n_bytes bigint, error string")
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:

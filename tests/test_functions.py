@@ -52,5 +52,26 @@ def test_small_functions(spark):
 
 def test_page_urls(spark):
     got = values(spark, [("http://h/a?q=1#z", 3), ("http://h/a/", 1)], "u string, m int", urls.page_urls(F.col("u"), F.col("m")))
-    assert got[0][0] == ["http://h/a?q=1&page=2", "http://h/a/page/2", "http://h/a?q=1&page=3", "http://h/a/page/3"]
+    assert got[0][0] == ["http://h/a?q=1&page=2#z", "http://h/a?q=1&page=3#z", "http://h/a/page/2?q=1#z", "http://h/a/page/3?q=1#z"]
     assert got[1][0] == []
+
+
+def test_unescape(spark):
+    import html
+
+    rows = ["a &amp; b", "&lt;p&gt;", "&#39;&#x27;&#X20AC;", "&amp;#39;", "&nbsp;x", "& &; &zzz; &#; &#xZ;", "no", "", "&eacute;&mdash;&rarr;", "&#128512;", "&amp&", None]
+    got = [r[0] for r in values(spark, [(i, x) for i, x in enumerate(rows)], "i int, t string", strings.unescape(F.col("t")))]
+    want = [None if x is None else html.unescape(x) for x in rows]
+    want[10] = "&amp&"  # references by name need their semicolon
+    assert got == want
+
+
+def test_unquote_keeps_bad_escapes(spark):
+    rows = ["http://h/a%20b%zz.pdf", "http://h/100%", "http://h/%E0%B2%95+1?x=%41", "http://h/plain"]
+    got = [r[0] for r in values(spark, [(u,) for u in rows], "u string", urls.unquoted_name(F.col("u")))]
+    assert got == [unquote(u.rpartition("/")[2]) for u in rows]
+
+
+def test_prompt_lines(spark):
+    rows = [("a\nb\n\nc\n\n\nd", "a\nb\n\nc"), ("a", "a"), ("\n\nx", ""), ("", ""), ("a\n\n", "a")]
+    assert [r[0] for r in values(spark, [(t,) for t, _ in rows], "t string", strings.prompt_lines(F.col("t")))] == [w for _, w in rows]

@@ -40,8 +40,9 @@ def test_classify_cascade(spark):
 def test_html(spark):
     page = """<table class="x panel"><tr><td>1</td><td>2</td><td>3</td><td><a href="/h/1">v</a></td></tr><tr><td>no</td></tr></table>
     <ul id="act_child_list"><li><a href="/a"> The&nbsp;<b>X</b> &amp; Y </a></li></ul><a href="/p2">2</a><a href="/p1">1</a><a class="next" href="/n">more</a><a title="Next Page" href="/next">n</a>"""
-    r = spark.createDataFrame([(page,)], "html string").select(html.panel_links(F.col("html")), html.anchors(html.container(F.col("html"), "ul", "act_child_list")), html.numbered_pages(F.col("html")), html.next_page(F.col("html")), html.pagination_links(F.col("html")), html.container(F.col("html"), "ul", "none")).first()
-    assert r[0] == ["/h/1"] and tuple(r[1][0]) == ("/a", "The X & Y") and r[2] == ["/p2"] and r[3] == "/next" and r[4] == ["/n", "/next", "/p2"] and r[5] is None
+    e = F.col("elements")
+    r = html.parsed(spark.createDataFrame([(page,)], "html string")).select(html.panel_links(e), html.container_links(e, "ul", "act_child_list"), html.numbered_pages(e), html.next_page(e), html.pagination_links(e), html.container_links(e, "ul", "none")).first()
+    assert r[0] == ["/h/1"] and tuple(r[1][0]) == ("/a", "The X & Y") and r[2] == ["/p2"] and r[3] == "/next" and r[4] == ["/next", "/p2"] and r[5] is None
 
 
 def test_closure_ends_on_a_cycle(spark):
