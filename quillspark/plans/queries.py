@@ -313,22 +313,22 @@ def parameters(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("page_id", strings.yes(F.col("answer")).alias("download"), strings.number_or(n, 3.0).alias("delay"), urls.clamp_pages(n).alias("max_pages"), urls.clamp_delay(n).alias("crawl_delay"), strings.prompt_lines(F.col("typed")).alias("prompt"))
 
 
-#: A crawl in SQL: one step of the queue for each visited page, with the lists of visited and waiting pages as its state.
-_CRAWL_SQL = """WITH RECURSIVE best AS (SELECT url, target, min(pos) AS pos FROM (SELECT p.url, l.pos, l.abs_url AS target FROM link l JOIN page p ON l.page_id = p.page_id WHERE l.abs_url IS NOT NULL) l GROUP BY url, target),
-level AS (SELECT 0 AS depth, [url] AS front, [url] AS seen FROM page WHERE page_id = 1
-  UNION ALL SELECT depth + 1, new, list_concat(seen, new) FROM (SELECT depth, seen, (SELECT list_slice(list(target ORDER BY by_, pos, target), 1, 50 - len(seen)) FROM (
-      SELECT target, min(by_) AS by_, min_by(pos, by_ * 100000 + pos) AS pos FROM (
-        SELECT target, list_position(front, b.url) AS by_, pos, row_number() OVER (PARTITION BY b.url ORDER BY pos, target) AS k FROM best b WHERE list_contains(front, b.url) AND NOT list_contains(seen, target)) c WHERE k <= 3 GROUP BY target) t) AS new
-    FROM level WHERE len(seen) < 50) s WHERE len(new) > 0)
+#: A crawl in SQL: one row for each depth, with the lists of new and of all pages as its state.
+_CRAWL_SQL = """WITH RECURSIVE best AS (SELECT p.url, l.pos, l.abs_url AS target FROM link l JOIN page p ON l.page_id = p.page_id WHERE l.abs_url IS NOT NULL),
+level AS (SELECT 0 AS depth, list(url ORDER BY url) AS front, list(url ORDER BY url) AS seen, count(*) + 500 AS budget FROM (SELECT DISTINCT url FROM page) p
+  UNION ALL SELECT depth + 1, new, list_concat(seen, new), budget FROM (SELECT depth, seen, budget, (SELECT list_slice(list(target ORDER BY o, target), 1, budget - len(seen)) FROM (
+      SELECT target, min({'by_': by_, 'pos': pos}) AS o FROM (
+        SELECT target, list_position(front, b.url) - 1 AS by_, pos, row_number() OVER (PARTITION BY b.url ORDER BY pos, target) AS k FROM best b WHERE list_contains(front, b.url) AND NOT list_contains(seen, target)) c WHERE k <= 3 GROUP BY target) t) AS new
+    FROM level WHERE len(seen) < budget) s WHERE len(new) > 0)
 SELECT unnest(front) AS url, depth, CAST(len(seen) - len(front) + generate_subscripts(front, 1) - 1 AS INTEGER) AS rank FROM level"""
 
 
-@_query()
+@_query(_CRAWL_SQL)
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A breadth-first crawl over the link table, 50 pages at most, three new links from each."""
+    """A breadth-first crawl over the link table from all pages: 500 further addresses at most, three new links from each."""
     pages = table(spark, d, "page").select("page_id", "url")
     own = table(spark, d, "link").join(pages, "page_id").select("url", "pos", F.col("abs_url").alias("target"))
-    return crawl.bounded_crawl(own, pages.filter("page_id = 1"), 50)
+    return crawl.bounded_crawl(own, pages, pages.select("url").distinct().count() + 500)
 
 
 # ---- chunks ---------------------------------------------------------------------------------
@@ -404,7 +404,15 @@ def json_fallback_record(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.col("record.document_info.title").alias("title"), F.col("record.document_info.authority").alias("authority"), F.col("record.main_content.summary").alias("summary"), F.col("record.full_text_content").alias("full_text"))
 
 
-@_query()
+#: Replies without fences, the object in them, and that object after the thorough repair, each rule as it is fixed.
+_READ = """b AS (SELECT *, trim(regexp_replace(regexp_replace(trim(response_text, ' ' || chr(10)), '^```(json)?', ''), '```$', ''), ' ' || chr(10)) AS bare FROM {replies}),
+p AS (SELECT *, nullif(regexp_extract(bare, '[{].*[}]', 0, 's'), '') AS piece FROM b),
+t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(piece, '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g'), '\\"', '"'), '\\\\', '\\'), ',\\s*[}]', '}', 'g'), ',\\s*[]]', ']', 'g'), '([0-9A-Za-z_]+):', '"\\1":', 'g'), chr(39) || '([^' || chr(39) || ']*)' || chr(39), '"\\1"', 'g') AS mended FROM p),
+v AS (SELECT *, json_valid(bare) AND NOT regexp_matches(bare, ',\\s*[]}]') AS strict FROM t),
+j AS (SELECT *, CASE WHEN strict THEN bare WHEN json_valid(mended) THEN mended END AS body, CASE WHEN strict THEN 'parsed' WHEN json_valid(mended) THEN 'repaired' ELSE 'fallback' END AS status FROM v)"""
+
+
+@_query(f"""WITH {_READ.replace("{replies}", "model_response")} SELECT method, status, coalesce(json_exists(body, '$.error'), false) AS is_error, count(*) AS n_replies FROM j GROUP BY ALL""")
 def reply_status(spark: SparkSession, d: str) -> DataFrame:
     """How the replies of the model were read, by method."""
     parsed = jsonrepair.typed(jsonrepair.parse_replies(table(spark, d, "model_response")))
@@ -495,7 +503,13 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return merge.pages_to_text(lines, "doc_id", "page_no", "page_text")
 
 
-@_query()
+def _flat(path: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_distinct(flatten(list(CAST(json_extract_string(body, '{path}[*]') AS VARCHAR[]) ORDER BY chunk_no) FILTER (WHERE body IS NOT NULL)))), '|'), '')"
+
+
+@_query(f"""WITH r AS (SELECT DISTINCT doc_id, chunk_no, method, response_text FROM model_response), {_READ.replace("{replies}", "r")}
+SELECT doc_id, coalesce(min_by(json_extract_string(body, '$.document_info.title'), chunk_no) FILTER (WHERE body IS NOT NULL AND json_type(body, '$.document_info') = 'OBJECT'), max(CASE WHEN body IS NULL THEN 'Raw Content - JSON Parse Failed' END)) AS title, {_flat('$.important_entities.people')} AS people, {_flat('$.important_entities."references"')} AS "references",
+  CAST(coalesce(sum(CASE WHEN json_type(body, '$.penalties_and_consequences') = 'ARRAY' THEN json_array_length(body, '$.penalties_and_consequences') END), 0) AS INTEGER) AS n_penalties, CAST(count(*) AS INTEGER) AS total_chunks FROM j GROUP BY doc_id""")
 def merge_responses(spark: SparkSession, d: str) -> DataFrame:
     """The merged record of every document with replies, flattened to scalars; repeated replies count once."""
     replies = table(spark, d, "model_response").dropDuplicates(["doc_id", "chunk_no", "method", "response_text"])
