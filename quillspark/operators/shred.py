@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 SECTION_FIELDS = ("section_title", "content")
 PENALTY_FIELDS = ("violation", "penalty", "amount", "conditions")
 ENTITY_KINDS = ("people", "organizations", "locations", "amounts", "dates", "references")
+OBJECTS = ("detailed_sections", "penalties_and_consequences")
 ROOT = "$"
 
 _NODE = "array<struct<node:string,parent:string,label:string,ordinal:int,scalar:string,object:boolean>>"
@@ -106,20 +107,28 @@ def _pos(path: Column) -> Column:
     return F.regexp_extract(path, r"\[(\d+)\]$", 1).cast("int")
 
 
-def _pivot(nodes: DataFrame, label: str, fields: tuple[str, ...]) -> DataFrame:
-    """Object nodes of ``label`` joined with their scalar children, one column a field.
+def pivoted(nodes: DataFrame) -> DataFrame:
+    """Every row of every flat table: ``rec_id, kind, node, parent, pos, value`` and the fields of objects.
 
-    The join and the pivot are one aggregation over ``rec_id, node``: an object row and its
-    children meet under the object's path.
+    Object nodes are joined with their scalar children and pivoted; as an object and its children
+    meet under the object's path, the join and the pivot are one aggregation over ``rec_id, key``,
+    with partial aggregates before its exchange. All kinds go through that one exchange.
     """
-    own = nodes.filter((F.col("label") == label) | (F.col("parent").startswith(f"{label}[") & F.col("label").isin(*fields)))
-    key = F.when(F.col("label") == label, F.col("node")).otherwise(F.col("parent"))
-    is_object = F.col("label") == label
+    label, parent = F.col("label"), F.col("parent")
+    is_object = label.isin(*OBJECTS)
+    is_leaf = label.isin("key_details", *ENTITY_KINDS)
+    above = F.regexp_extract(parent, r"^([a-z_]+)\[\d+\]$", 1)  # the kind of the object that a field belongs to
+    kind = F.when(is_object | is_leaf, label).otherwise(above)
+    key = F.when(is_object | is_leaf, F.col("node")).otherwise(parent)
+    own = F.when(is_object | is_leaf, F.col("ordinal"))
+    fields = dict.fromkeys((*SECTION_FIELDS, *PENALTY_FIELDS))
     return (
-        own.groupBy("rec_id", key.alias("node"))
+        nodes.groupBy("rec_id", kind.alias("kind"), key.alias("node"))
         .agg(
-            F.max(F.when(is_object, F.col("ordinal"))).alias("pos"),
-            *[F.max(F.when(~is_object & (F.col("label") == f), F.col("scalar"))).alias(f) for f in fields],
+            F.max(own).alias("pos"),
+            F.max(F.when(is_leaf, parent)).alias("parent"),
+            F.max(F.when(is_leaf, F.col("scalar"))).alias("value"),
+            *[F.max(F.when(~is_object & ~is_leaf & (label == f), F.col("scalar"))).alias(f) for f in fields],
         )
         .filter(F.col("pos").isNotNull())
     )
@@ -131,32 +140,17 @@ def entity_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     Every row has ``rec_id`` and its own ``node``; ``parent`` is the ``node`` of the parent
     row where there is one.
     """
-    leaf = nodes.filter(F.col("scalar").isNotNull())
-    details = leaf.filter((F.col("label") == "key_details") & F.col("parent").startswith("detailed_sections[")).groupBy(
-        "rec_id", "node", "parent", F.col("ordinal").alias("pos")
-    )
-    entities = leaf.filter(F.col("label").isin(*ENTITY_KINDS) & (F.col("parent") == ROOT)).groupBy(
-        "rec_id", "node", F.col("label").alias("kind"), F.col("ordinal").alias("pos")
-    )
-    value = F.max("scalar").alias("value")
+    rows = pivoted(nodes)
+    of = lambda *kinds: rows.filter(F.col("kind").isin(*kinds))
     return {
-        "sections": _pivot(nodes, "detailed_sections", SECTION_FIELDS),
-        "key_details": details.agg(value).withColumn("parent_pos", _pos(F.col("parent"))),
-        "penalties": _pivot(nodes, "penalties_and_consequences", PENALTY_FIELDS),
-        "entities": entities.agg(value),
+        "sections": of("detailed_sections").select("rec_id", "node", "pos", *SECTION_FIELDS),
+        "key_details": of("key_details").select("rec_id", "node", "parent", "pos", "value", _pos(F.col("parent")).alias("parent_pos")),
+        "penalties": of("penalties_and_consequences").select("rec_id", "node", "pos", *PENALTY_FIELDS),
+        "entities": of(*ENTITY_KINDS).select("rec_id", "node", "kind", "pos", "value"),
     }
 
 
-def elements(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row for each element: ``rec_id, child, parent_pos, pos``."""
-    none = F.lit(-1).alias("parent_pos")
-    rows = [
-        tables["sections"].select("rec_id", F.lit("detailed_sections").alias("child"), none, "pos"),
-        tables["key_details"].select("rec_id", F.lit("key_details").alias("child"), "parent_pos", "pos"),
-        tables["penalties"].select("rec_id", F.lit("penalties_and_consequences").alias("child"), none, "pos"),
-        tables["entities"].select("rec_id", F.col("kind").alias("child"), none, "pos"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def elements(nodes: DataFrame) -> DataFrame:
+    """One row for each element of any flat table: ``rec_id, child, parent_pos, pos``; one scan, one exchange."""
+    inner = F.when(F.col("kind") == "key_details", _pos(F.col("parent"))).otherwise(F.lit(-1))
+    return pivoted(nodes).select("rec_id", F.col("kind").alias("child"), inner.alias("parent_pos"), "pos")

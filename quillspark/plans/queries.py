@@ -56,7 +56,7 @@ UNION ALL SELECT rec_id, child, -1, CAST(pos AS INTEGER) FROM entities WHERE v I
 
 @_query(P5_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.elements(shred.entity_tables(shred.adjacency(table(spark, d, "aiscript"))))
+    return shred.elements(shred.adjacency(table(spark, d, "aiscript")))
 
 
 def _p5_table(name: str, columns: list[str]) -> Query:

@@ -7,8 +7,12 @@ DDL = (
 )
 
 
+def nodes(spark, rows):
+    return shred.adjacency(spark.createDataFrame(rows, DDL))
+
+
 def tables(spark, rows):
-    return shred.entity_tables(shred.adjacency(spark.createDataFrame(rows, DDL)))
+    return shred.entity_tables(nodes(spark, rows))
 
 
 def test_links_and_nulls(spark):
@@ -22,13 +26,13 @@ def test_links_and_nulls(spark):
     assert sorted((r.parent, r.pos, r.value) for r in t["key_details"].collect()) == [("detailed_sections[1]", 0, "a"), ("detailed_sections[1]", 2, ""), ("detailed_sections[1]", 3, "a")]
     assert [(r.pos, r.violation) for r in t["penalties"].collect()] == [(1, "v")]
     assert sorted((r.kind, r.pos, r.value) for r in t["entities"].collect()) == [("people", 0, "x"), ("people", 1, "x"), ("people", 2, " ")]
-    assert shred.elements(t).count() == 2 + 3 + 1 + 3
+    assert shred.elements(nodes(spark, rows)).count() == 2 + 3 + 1 + 3
     # every child's parent is there
     assert t["key_details"].join(t["sections"], (t["key_details"].parent == t["sections"].node), "left_anti").count() == 0
 
 
 def test_repeated_rows_and_empty(spark):
     row = (1, [("t", "c", ["k"])], None, None, "n", 1, "l")
-    assert shred.elements(tables(spark, [row, row])).count() == 2
-    assert shred.elements(tables(spark, [])).count() == 0
-    assert shred.elements(tables(spark, [(None, *row[1:])])).count() == 2
+    assert shred.elements(nodes(spark, [row, row])).count() == 2
+    assert shred.elements(nodes(spark, [])).count() == 0
+    assert shred.elements(nodes(spark, [(None, *row[1:])])).count() == 2
