@@ -12,10 +12,10 @@ the feature domain (the hash range) is partitioned into parts, and the signature
 Two sets share a signature if a part holds the same features. With parts this large that is
 not certain by the pigeonhole; instead the number of partitions of each band is counted so
 that a pair at the threshold itself is missed with a chance of about ``MISS``, for each size
-of the band, and more similar pairs more rarely. Subsets with too few features would tie unrelated texts and are not
+of the band, and more similar pairs more rarely; ``exact=True`` takes signatures that miss nothing instead. Subsets with too few features would tie unrelated texts and are not
 signatures. Candidates are then compared exactly.
 
-Texts that are equal are one class from the start (64-bit digest), so that a text copied a
+Texts that are equal are one class from the start (128 bits decide), so that a text copied a
 million times signs as one set; copies become pairs only where the result's form asks for it.
 
 Defined results
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._arrow import map_blocks
 from quillspark.llm._buckets import bucket_pairs
+from quillspark.llm._digest import with_digest
 from quillspark.llm._hashing import U, mix, shingles
 from quillspark.session import cut, spread
 
@@ -111,7 +112,7 @@ def signatures(features: np.ndarray, own: np.ndarray, n: int, threshold: float)
 
 
 def _keyed(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null").withColumn("digest", F.xxhash64("text"))
+    return with_digest(records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null"))
 
 
 def _sign(base: DataFrame, min_words: int, threshold: float) -> DataFrame:
@@ -167,20 +168,39 @@ def _most_common(a: str, b: str) -> Column:
     return F.aggregate(met, F.lit(0).cast("bigint"), lambda n, x: n + F.bit_count(x)) + extra
 
 
-def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
-    """``(links, members)``.
+def _rarest(base: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """Signatures that miss nothing: the rarest features of each set.
+
+    Two sets at the threshold have all but ``size - ceil(threshold * size)`` features of either in
+    common; put in one order, one more than so many first features of each share one. The order is
+    by the number of sets that have a feature, rarest first, so buckets stay small.
+    """
+    sets = cut(_feature_sets(base.select("digest", "text").dropDuplicates(["digest"])).filter(F.col("n_words") >= max(min_words, SHINGLE)).select("digest", "features"))
+    rows = sets.select("digest", F.size("features").alias("size"), F.explode("features").alias("feature"))
+    counts = rows.groupBy("feature").agg(F.count("*").alias("n")).filter("n > 1")
+    # features of one set only come first in the order and need no bucket
+    shared = rows.join(counts, "feature").groupBy("digest", "size").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("known"))
+    first = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("known"))
+    kept = shared.filter(first > 0).select("digest", "size", F.explode(F.slice("known", F.lit(1), first.cast("int"))).alias("x"))
+    return kept.select(F.col("x.feature").alias("bucket"), F.col("digest").alias("id"), "size")
+
+
+def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(links, members)``. With ``exact`` candidates come from signatures that miss nothing, at the cost of a join of all features.
 
     ``links``: ``a, b`` digests of different texts at least ``threshold`` similar.
     ``members``: ``id, digest`` of the records whose text is in a link or has copies, and
     has ``min_words`` words.
     """
     base = _keyed(records, id_col, text_col)
-    candidates = cut(bucket_pairs(_sign(spread(base), min_words, threshold), threshold))
+    signed = _rarest(spread(base), min_words, threshold) if exact else _sign(spread(base), min_words, threshold)
+    candidates = cut(bucket_pairs(signed, threshold))
     ids = base.select("id", "digest").distinct()
     classes = ids.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     touched = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct().withColumn("linked", F.lit(True))
     wanted = classes.join(touched, "digest", "left").filter("copies > 1 or linked").select("id", "digest")
-    texts = base.select("id", "text").join(wanted, "id").groupBy("digest").agg(F.first("text").alias("text"))
+    # an id may hold several texts: the digest says which one is meant
+    texts = base.select("id", "digest", "text").join(wanted, ["id", "digest"]).groupBy("digest").agg(F.first("text").alias("text"))
     sets = cut(_feature_sets(texts).filter(F.col("n_words") >= max(min_words, SHINGLE)))
     one = lambda side, *what: sets.withColumn("n", F.size("features")).select(F.col("digest").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in what])
     bound = F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (1 + threshold)
@@ -197,9 +217,9 @@ def similar_classes(records: DataFrame, id_col: str, text_col: str, threshold: f
     return links, ids.join(sets.select("digest"), "digest", "left_semi")
 
 
-def similar_pairs(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50) -> DataFrame:
+def similar_pairs(records: DataFrame, id_col: str, text_col: str, threshold: float = 0.6, min_words: int = 50, exact: bool = False) -> DataFrame:
     """Every pair ``id_a < id_b`` of records at least ``threshold`` similar, copies included."""
-    links, members = similar_classes(records, id_col, text_col, threshold, min_words)
+    links, members = similar_classes(records, id_col, text_col, threshold, min_words, exact)
     left = members.select(F.col("id").alias("x"), F.col("digest").alias("a"))
     right = members.select(F.col("id").alias("y"), F.col("digest").alias("b"))
     linked = links.join(left, "a").join(right, "b").select("x", "y")
@@ -207,14 +227,14 @@ def similar_pairs(records: DataFrame, id_col: str, text_col: str, threshold: flo
     return linked.union(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).filter("id_a < id_b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component, by alternating stars.
 
-    Large-star and small-star steps in turn; each halves long chains, and every step's edges
-    are written to the shared checkpoint folder.
+    Large-star and small-star steps in turn until nothing changes; each halves long chains, and
+    every step's edges are written to the shared checkpoint folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         sides = edges.union(edges.select(F.col("v"), F.col("u")))
         low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sides.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -40,6 +40,39 @@ def test_pairs_against_brute_force(records):
     assert clear <= got and len(clear) > 100
 
 
+def near_threshold(rng):
+    """Pairs of texts of 24 to 400 features between 0.56 and 0.72 similar."""
+    rows, k = [], 0
+    for n in (24, 30, 47, 64, 90, 128, 200, 256, 300, 400):
+        for _ in range(12):
+            base = [f"p{k}_{i}" for i in range(n + 2)]
+            other = list(base)
+            # an own stretch of d words in place of as many takes d + 2 runs from both
+            d = max(1, round(n * (1 - rng.uniform(0.56, 0.72)) / (1 + rng.uniform(0.56, 0.72))) - 2)
+            at = rng.randrange(0, len(other) - d)
+            other[at : at + d] = [f"q{k}_{i}" for i in range(d)]
+            rows += [(2 * k, " ".join(base), "s", "en"), (2 * k + 1, " ".join(other), "s", "en")]
+            k += 1
+    return rows
+
+
+def test_recall_near_the_threshold(records):
+    rows = near_threshold(random.Random(7))
+    want = brute(rows, 0.6, 20)
+    assert 50 < len(want) < 110
+    got = {tuple(r) for r in N.similar_pairs(records(rows), "rec_id", "text", 0.6, 20).collect()}
+    assert got <= want and len(want - got) <= 1  # 0.01 expected
+    exact = {tuple(r) for r in N.similar_pairs(records(rows), "rec_id", "text", 0.6, 20, exact=True).collect()}
+    assert exact == want
+
+
+def test_one_id_with_two_texts(records):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a, "s", "en"), (1, b, "s", "en"), (2, a + " tail", "s", "en"), (3, b + " tail", "s", "en")]
+    for exact in (False, True):
+        assert {tuple(r) for r in N.similar_pairs(records(rows), "rec_id", "text", exact=exact).collect()} == {(1, 2), (1, 3)}
+
+
 def test_edges(records):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, None, None), (1, text, None, None), (2, text, "s", "x"), (3, None, "s", "x"), (4, "", "s", "x"), (None, text, "s", "x"), (5, " ".join(text.split()[:49]), "s", "x"), (6, "a " * 200, "s", "x"), (7, "a " * 300, "s", "x"), (8, text + " " + "tail " * 3, "s", "x")]
