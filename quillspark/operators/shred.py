@@ -140,8 +140,8 @@ def entity_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     Every row has ``rec_id`` and its own ``node``; ``parent`` is the ``node`` of the parent
     row where there is one.
     """
-    rows = pivoted(nodes)
-    of = lambda *kinds: rows.filter(F.col("kind").isin(*kinds))
+    # columns of their own for each table, so that tables can be joined; equal exchanges are reused
+    of = lambda *kinds: pivoted(nodes).filter(F.col("kind").isin(*kinds))
     return {
         "sections": of("detailed_sections").select("rec_id", "node", "pos", *SECTION_FIELDS),
         "key_details": of("key_details").select("rec_id", "node", "parent", "pos", "value", _pos(F.col("parent")).alias("parent_pos")),
