@@ -1,5 +1,6 @@
 """Rows that share a key, and pairs of items that share a bucket, without holding an unbounded group.
 
+``maybe_shared`` counts keys and lets only rows of shared ones (and a few more) be moved, by a bitmap of fixed size.
 ``shared_rows`` counts keys first, with partial aggregates before the exchange, and joins the
 shared ones back: by broadcast while they are fewer than ``BROADCAST_ROWS`` (counted, not
 guessed), else by a join that adaptive execution can split where a key is hot.
@@ -20,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._hashing import U, mix
 from quillspark.session import cut
 
 BLOCK = 512
 BROADCAST_ROWS = 500_000
+#: Bits of the bitmap of shared keys.
+FILTER_BITS = 1 << 26
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -39,17 +43,59 @@ def shared_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(F.broadcast(shared) if small else shared, key)
 
 
+def _filter_words(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits with those of the keys set, made of partial bitmaps; its size does not depend on the data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        for b in batches:
+            at = _place(b.column(0).to_numpy())
+            np.bitwise_or.at(flags, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        words = flags.view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(words[some])], names=["word", "bits"])
+
+    rows = keys.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(U)) >> U(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
+
+def maybe_shared(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose key no other row has, but for a few.
+
+    Keys alone are counted; a bitmap of those that come twice, of one size whatever the data, goes
+    to all tasks, and ``rows`` is made again and only what the bitmap lets through is moved. A
+    full bitmap lets everything through, so nothing is ever lost.
+    """
+    twice = rows.select(key).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    words = rows.sparkSession.sparkContext.broadcast(_filter_words(twice))
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = words.value
+        for b in batches:
+            place = _place(b.column(at).to_numpy())
+            yield b.filter(pa.array((flags[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def bucket_pairs(rows: DataFrame, ratio: float) -> DataFrame:
     """Distinct ``a < b`` of ``id`` values that share a ``bucket`` with sizes at least ``ratio`` alike.
 
     ``rows`` has ``bucket BIGINT, id BIGINT, size INT``; repeated rows count once.
     """
-    met = cut(shared_rows(rows, "bucket", "id").select("bucket", "id", "size").distinct())
-    # buckets of the same items say the same: one of them is enough
+    met = cut(maybe_shared(rows, "bucket").select("bucket", "id", "size").distinct())
     h = F.xxhash64("id")
+    # buckets of the same items say the same: one of them is enough
     sums = met.groupBy("bucket").agg(F.count("*").alias("n"), F.try_sum(h.bitwiseAND((1 << 40) - 1)).alias("low_sum"), F.try_sum(F.shiftrightunsigned(h, 24)).alias("high_sum"))
     alone = F.when(F.col("low_sum").isNull() | F.col("high_sum").isNull(), F.col("bucket"))
-    kept = sums.groupBy("n", "low_sum", "high_sum", alone.alias("alone")).agg(F.min("bucket").alias("bucket"))
+    kept = sums.filter("n > 1").groupBy("n", "low_sum", "high_sum", alone.alias("alone")).agg(F.min("bucket").alias("bucket"))
     blocks = F.ceil(F.col("n") / BLOCK)
     shared = met.join(kept.select("bucket", "n"), "bucket").select("bucket", "id", "size", blocks.cast("int").alias("blocks"), F.pmod(h, blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

@@ -7,8 +7,9 @@ learned too. Posteriors come from forward-backward, run over all sentences of a
 once. A sentence has the language with the largest summed posterior; neighbouring sentences
 of one language are a stretch, whose confidence is the mean posterior of its words.
 
-Weights are fitted on at most ``sample_rows`` labelled records of each language whose label
-agrees with the lexicons below, transitions on sequences joined from their sentences.
+All weights are fitted together on about ``sample_rows`` labelled records of each language, drawn by
+hash, whose label agrees with the lexicons below: on their sentences and on sequences joined from
+parts of these, by gradients of forward-backward.
 
 Defined results
     null texts and texts without words have no stretch and a null language; text that is no
@@ -32,7 +33,10 @@ from quillspark.llm.residue import localise
 from quillspark.llm.scan_noise import HEADER, NUMBER, label
 from quillspark.session import spread
 
-SAMPLE_ROWS = 250
+#: Records of each language, sentences of each record and words of each sentence that the field is fitted on.
+SAMPLE_ROWS, SENTENCES, LONGEST = 250, 12, 60
+#: Steps of the fit and their size.
+STEPS, RATE = 60, 0.3
 WIDTH = 1 << 16
 #: Words that a stretch needs, so that a single foreign word is none.
 LEAST_WORDS = 3
@@ -120,39 +124,52 @@ class Field:
         """Word posteriors of each sentence, by forward-backward over all sentences of a length class."""
         if len(self.seen) > 500_000:
             self.seen.clear()
-        flat = self.ids([w for s in sentences for w in s])
+        flat = np.array(self.ids([w for s in sentences for w in s]), dtype=np.int64)
         lens = np.array([len(s) for s in sentences])
+        out, _ = forward_backward(self.rows[flat], lens, self.moves)
         at = np.concatenate([[0], np.cumsum(lens)])
-        emission = np.exp(np.clip(self.rows[flat] - self.rows[flat].max(axis=1, keepdims=True), -30, 0)).astype(np.float64) if len(flat) else np.zeros((0, len(self.labels)))
-        moves = np.exp(self.moves)
-        out = np.zeros((len(flat), len(self.labels)))
-        order = np.argsort(lens, kind="stable")
-        order = order[lens[order] > 0]
-        for a in range(0, len(order), 1024):
-            rows = order[a : a + 1024]
-            n, t = len(rows), int(lens[rows].max())
-            own = lens[rows]
-            where = at[rows][:, None] + np.arange(t)[None, :]
-            inside = np.arange(t)[None, :] < own[:, None]
-            e = np.where(inside[:, :, None], emission[np.where(inside, where, 0)], 1.0)
-            forward = np.empty((t, n, len(self.labels)))
-            x = e[:, 0]
-            forward[0] = x / x.sum(axis=1, keepdims=True)
-            for k in range(1, t):
-                x = (forward[k - 1] @ moves) * e[:, k]
-                forward[k] = x / x.sum(axis=1, keepdims=True)
-            b = np.ones((n, len(self.labels)))
-            for k in range(t - 1, -1, -1):
-                p = forward[k] * b
-                p /= p.sum(axis=1, keepdims=True)
-                out[where[inside[:, k], k]] = p[inside[:, k]]
-                if k:
-                    nb = (e[:, k] * b) @ moves.T
-                    nb /= nb.sum(axis=1, keepdims=True)
-                    b = np.where(inside[:, k, None], nb, b)
         return [out[i:j] for i, j in zip(at[:-1], at[1:])]
 
 
+def forward_backward(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The posterior of each label at each word of sequences laid end to end, and the expected number of changes of each kind."""
+    n_labels = moves.shape[0]
+    at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    emission = np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -30, 0)).astype(np.float64) if len(scores) else np.zeros((0, n_labels))
+    change = np.exp(moves)
+    out = np.zeros((len(scores), n_labels))
+    changes = np.zeros(moves.shape)
+    order = np.argsort(lens, kind="stable")
+    order = order[lens[order] > 0]
+    for a in range(0, len(order), 1024):
+        rows = order[a : a + 1024]
+        n, t = len(rows), int(lens[rows].max())
+        own = lens[rows]
+        where = at[rows][:, None] + np.arange(t)[None, :]
+        inside = np.arange(t)[None, :] < own[:, None]
+        e = np.where(inside[:, :, None], emission[np.where(inside, where, 0)], 1.0)
+        forward = np.empty((t, n, n_labels))
+        x = e[:, 0]
+        forward[0] = x / x.sum(axis=1, keepdims=True)
+        for k in range(1, t):
+            x = (forward[k - 1] @ change) * e[:, k]
+            forward[k] = x / x.sum(axis=1, keepdims=True)
+        b = np.ones((n, n_labels))
+        for k in range(t - 1, -1, -1):
+            p = forward[k] * b
+            p /= p.sum(axis=1, keepdims=True)
+            out[where[inside[:, k], k]] = p[inside[:, k]]
+            if k:
+                after = e[:, k] * b
+                total = ((forward[k - 1] @ change) * after).sum(axis=1)
+                part = np.where(inside[:, k], 1 / total, 0.0)
+                changes += (forward[k - 1] * part[:, None]).T @ after * change
+                nb = after @ change.T
+                nb /= nb.sum(axis=1, keepdims=True)
+                b = np.where(inside[:, k, None], nb, b)
+    return out, changes
+
+
 def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
@@ -178,72 +195,120 @@ def _lexicon_votes(tokens: list[str], labels: list[str]) -> np.ndarray:
     return votes
 
 
-def fit(sample: list[tuple[str, str]], codes: list[str], steps: int = 60) -> Field:
-    """A field fitted on ``(text, code)`` pairs."""
+def _sequences(spoken: list[tuple[list[str], int]], n: int, rng: np.random.Generator) -> list[list[tuple[list[str], int]]]:
+    """Every sentence, and ``n`` sequences of two to four parts of sentences of any languages, so that changes are learned."""
+    out = [[s] for s in spoken]
+    by_label: dict[int, list[list[str]]] = {}
+    for words_, k in spoken:
+        by_label.setdefault(k, []).append(words_)
+    labels = sorted(by_label)
+    for _ in range(n if labels else 0):
+        parts = []
+        for k in rng.choice(labels, size=rng.integers(2, 5)):
+            s = by_label[int(k)][rng.integers(len(by_label[int(k)]))]
+            parts.append((s[: rng.integers(3, len(s) + 1)], int(k)))
+        out.append(parts)
+    return out
+
+
+def fit(sample: list[tuple[str, str]], codes: list[str], steps: int = STEPS) -> Field:
+    """A field fitted on ``(text, code)`` pairs.
+
+    The weights of the words' features and of the transitions are fitted together: each step is a
+    gradient of the likelihood of the labels of whole sequences, what is observed less what
+    forward-backward expects, for features and changes alike. The lexicons' words are examples too.
+    """
     labels = sorted(set(codes) | ({"hi-Latn"} if "hi" in codes else set()))
     place = {x: i for i, x in enumerate(labels)}
-    counts: dict[str, np.ndarray] = {}
     spoken: list[tuple[list[str], int]] = []
     for text, code in sample:
-        tokens = words(text)
-        if not tokens:
-            continue
-        latin = sum(_script(w) == "latn" for w in tokens) * 2 > len(tokens)
-        y = place.get("hi-Latn" if code == "hi" and latin else code)
-        votes = _lexicon_votes(tokens, labels)
-        if y is None or votes.sum() and votes.argmax() != y:
-            continue
-        for w in tokens:
-            counts.setdefault(w, np.zeros(len(labels)))[y] += 1
-        for a, b in sentences(text)[:12]:
-            s = words(text[a:b])
-            if 3 <= len(s) <= 60:
-                spoken.append((s, y))
-    for x in labels:  # the lexicons are examples too
-        for w in LEXICONS.get(x, ()):
-            counts.setdefault(w, np.zeros(len(labels)))[place[x]] += 20
-    vocabulary = list(counts)
-    y = np.stack([counts[w] for w in vocabulary]) if vocabulary else np.zeros((0, len(labels)))
-    y = y / np.maximum(y.sum(axis=0, keepdims=True), 1) * 1000  # each language weighs the same
-    weight = np.minimum(y.sum(axis=1), 20.0)
-    y = y / np.maximum(y.sum(axis=1, keepdims=True), 1e-9)
-    x = [features(w) for w in vocabulary]
+        y = place.get("hi-Latn" if code == "hi" and _latin(words(text)) else code)
+        if y is not None:
+            spoken += [(s, y) for a, b in sentences(text) if 3 <= len(s := words(text[a:b])[:LONGEST])]
+    rng = np.random.default_rng(7)
+    sequences = _sequences(spoken, len(spoken) // 4 + 200, rng)
+    known: dict[str, int] = {}
+    flat, gold, lens = [], [], []
+    for parts in sequences:
+        for s, k in parts:
+            flat += [known.setdefault(w, len(known)) for w in s]
+            gold += [k] * len(s)
+        lens.append(sum(len(s) for s, _ in parts))
+    lexicon = [(known.setdefault(w, len(known)), place[x]) for x in labels for w in LEXICONS.get(x, ())]
+    flat_, gold_, lens_ = np.array(flat, dtype=np.int64), np.array(gold, dtype=np.int64), np.array(lens, dtype=np.int64)
+    n_labels, n_words = len(labels), len(known)
+    x = [features(w) for w in known]
     longest = max((len(f) for f in x), default=1)
-    ids = np.array([f + [WIDTH] * (longest - len(f)) for f in x]).reshape(len(x), longest)
-    weights, seen = np.zeros((WIDTH + 1, len(labels))), np.full((WIDTH + 1, len(labels)), 1e-6)
+    ids = np.array([f + [WIDTH] * (longest - len(f)) for f in x], dtype=np.int64).reshape(len(x), longest)
+    # each language weighs the same, whatever its part of the sample
+    size = np.bincount(gold_, minlength=n_labels).astype(float)
+    weight = np.where(size > 0, size.sum() / np.maximum(size * (size > 0).sum(), 1), 0.0)[gold_] if len(gold_) else np.zeros(0)
+    starts = np.concatenate([[0], np.cumsum(lens_)])[:-1].astype(np.int64)
+    inner = np.ones(max(len(flat_) - 1, 0), dtype=bool)
+    inner[starts[1:] - 1] = False
+    observed = np.zeros((n_labels, n_labels))
+    if len(flat_) > 1:
+        np.add.at(observed, (gold_[:-1][inner], gold_[1:][inner]), 1.0)
+    scale = 1000.0 / max(len(flat_), 1000)
+    w, moves = np.zeros((WIDTH + 1, n_labels)), np.zeros((n_labels, n_labels))
+    w_seen, m_seen = np.full(w.shape, 1e-6), np.full(moves.shape, 1e-6)
+    lex_word, lex_label = np.array([i for i, _ in lexicon], dtype=np.int64), np.array([k for _, k in lexicon], dtype=np.int64)
     for _ in range(steps):
-        score = weights[ids].sum(axis=1)
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = ((p - y) * weight[:, None])[:, None, :].repeat(longest, axis=1).reshape(-1, len(labels))
-        grad = np.stack([np.bincount(ids.ravel(), g[:, k], minlength=WIDTH + 1) for k in range(len(labels))], axis=1) + 1e-3 * weights
+        score = w[ids].sum(axis=1) if n_words else np.zeros((0, n_labels))
+        p, expected = forward_backward(score[flat_], lens_, moves) if len(flat_) else (np.zeros((0, n_labels)), observed)
+        p[np.arange(len(flat_)), gold_] -= 1
+        p *= (weight * scale)[:, None]
+        g = np.stack([np.bincount(flat_, p[:, k], minlength=n_words) for k in range(n_labels)], axis=1)
+        if len(lex_word):
+            q = np.exp(score[lex_word] - score[lex_word].max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            q[np.arange(len(q)), lex_label] -= 1
+            np.add.at(g, lex_word, q)
+        grad = np.stack([np.bincount(ids.ravel(), np.repeat(g[:, k], longest), minlength=WIDTH + 1) for k in range(n_labels)], axis=1) + 1e-3 * w
         grad[WIDTH] = 0
-        seen += grad**2
-        weights -= 0.3 * grad / np.sqrt(seen)
-    moves = np.where(np.eye(len(labels)) > 0, 0.0, -3.0)
-    field = Field(labels, weights[:WIDTH].astype(np.float32), moves)
-    rng = np.random.default_rng(7)
-    if spoken:
-        chosen = [[spoken[k] for k in rng.integers(len(spoken), size=rng.integers(1, 4))] for _ in range(300)]
-        for _ in range(8):  # gradient steps on the transitions: observed minus expected changes
-            expected, observed = np.full(moves.shape, 1e-3), np.full(moves.shape, 0.5)
-            for s, p in zip(chosen, field.posteriors([[w for part, _ in c for w in part] for c in chosen])):
-                gold = np.repeat([k for _, k in s], [len(part) for part, _ in s])
-                np.add.at(observed, (gold[:-1], gold[1:]), 1)
-                expected += p[:-1].T @ p[1:]
-            observed /= observed.sum(axis=1, keepdims=True)
-            expected /= expected.sum(axis=1, keepdims=True)
-            field.moves = np.clip(field.moves + 0.5 * (np.log(observed) - np.log(expected)), -8, 0)
-    return field
+        w_seen += grad**2
+        w -= RATE * grad / np.sqrt(w_seen)
+        change = (expected - observed) * scale + 1e-3 * moves
+        m_seen += change**2
+        moves -= RATE * change / np.sqrt(m_seen)
+    return Field(labels, w[:WIDTH].astype(np.float32), moves)
+
+
+def _latin(tokens: list[str]) -> bool:
+    return sum(_script(w) == "latn" for w in tokens) * 2 > len(tokens)
+
+
+_DRAWN = pa.schema([("text", pa.string()), ("code", pa.string())])
 
 
 def fit_on(records: DataFrame, text_col: str, lang_col: str, codes: dict[str, str], sample_rows: int = SAMPLE_ROWS) -> Field:
-    """The field fitted on at most ``sample_rows`` labelled records of each language."""
-    labelled = records.select(F.col(text_col).alias("text"), named(F.col(lang_col), codes).alias("code")).filter(F.length("text") > 0)
-    sample: list[tuple[str, str]] = []
-    for code in sorted(codes):
-        sample += [(r["text"], code) for r in labelled.filter(F.col("code") == code).limit(sample_rows).collect()]
-    return fit(sample, sorted(codes))
+    """The field fitted on about ``sample_rows`` labelled records of each language, drawn by hash, whose label agrees with the lexicons.
+
+    Of each ``SENTENCES`` sentences of at most ``LONGEST`` words go to the driver, drawn by hash.
+    """
+    known = sorted(codes)
+    labels = sorted(set(known) | ({"hi-Latn"} if "hi" in known else set()))
+    labelled = records.select(F.col(text_col).cast("string").alias("text"), named(F.col(lang_col), codes).alias("code")).filter((F.length("text") > 0) & F.col("code").isNotNull())
+    counts = labelled.groupBy("code").agg(F.count("*").alias("n"))
+    joined = labelled.join(F.broadcast(counts), "code")  # one row for each code
+    drawn = joined.filter(F.pmod(F.xxhash64("text"), F.greatest(F.col("n"), F.lit(1))) < sample_rows).select("text", "code").distinct()
+
+    def kernel(texts: list, own: list) -> list:
+        out = []
+        for t, code in zip(texts, own):
+            tokens = words(t)
+            if not tokens:
+                continue
+            y = "hi-Latn" if code == "hi" and _latin(tokens) else code
+            votes = _lexicon_votes(tokens, labels)
+            if votes.sum() and labels[int(votes.argmax())] != y:
+                continue
+            spans = sorted(sentences(t), key=lambda s: zlib.crc32(t[s[0] : s[1]].encode("utf-8", "surrogatepass")))[:SENTENCES]
+            out.append(("\n\n".join(" ".join(t[a:b].split()[: LONGEST * 2]) for a, b in sorted(spans)), code))
+        return [[x[0] for x in out], [x[1] for x in out]]
+
+    rows = map_blocks(drawn, "text", kernel, "text string, code string", _DRAWN).toArrow().to_pylist()
+    return fit(sorted((r["text"], r["code"]) for r in rows), known)
 
 
 def _layout(text: str) -> str:

@@ -86,22 +86,22 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_groups(table(spark, d, "aiscript"), "rec_id", "full_text_content").withColumnRenamed("id", "rec_id")
 
 
-def _stretches(spark: SparkSession, d: str) -> DataFrame:
+def _stretches(spark: SparkSession, d: str, without_residue: bool) -> DataFrame:
     records = table(spark, d, "aiscript")
     codes = {r["code"]: r["name"] for r in small_rows(table(spark, d, "lang_code"))}
-    model = residue.fit_on(records, RESIDUE_FIELDS)
+    model = residue.fit_on(records, RESIDUE_FIELDS) if without_residue else None
     return languages.language_stretches(records, "rec_id", "full_text_content", "lang", codes, model)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of the records whose label is missing or wrong, or which mix languages."""
     wrong = F.col("label").isNull() | (F.col("label") != F.col("doc_lang")) | (F.col("n_segments") > 1)
-    return _stretches(spark, d).filter(wrong).select(F.col("id").alias("rec_id"), "seg_no", "lang")
+    return _stretches(spark, d, True).filter(wrong).select(F.col("id").alias("rec_id"), "seg_no", "lang")
 
 
 def p6_stretches(spark: SparkSession, d: str) -> DataFrame:
     """The language and confidence of each stretch of each record."""
-    return _stretches(spark, d).select(F.col("id").alias("rec_id"), "seg_no", "lang", "confidence", "start", "stop", F.col("doc_lang").alias("record_lang"), F.col("doc_confidence").alias("record_confidence"))
+    return _stretches(spark, d, False).select(F.col("id").alias("rec_id"), "seg_no", "lang", "confidence", "start", "stop", F.col("doc_lang").alias("record_lang"), F.col("doc_confidence").alias("record_confidence"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -56,3 +56,53 @@ def test_table(records):
     assert 900 not in seen and 901 not in seen and seen[902].doc_lang == "en" and seen[902].label == "kn"
     assert sum(seen[i].doc_lang == c for i, (_, c) in enumerate(sample())) == len(sample())
     assert L.language_stretches(records([]), "rec_id", "text", "lang", CODES).count() == 0
+
+
+def mixed(rng, labels, n):
+    """Sentences of two languages that have three of four words in common."""
+    both = [f"का{chr(0x915 + i)}{chr(0x915 + j)}" for i in range(12) for j in range(6)]
+    own = {"hi": [f"है{chr(0x915 + i)}" for i in range(20)], "mr": [f"आहे{chr(0x915 + i)}" for i in range(20)]}
+    out = []
+    for _ in range(n):
+        k = rng.choice(labels)
+        s = [rng.choice(both) for _ in range(9)] + [rng.choice(own[k]) for _ in range(3)]
+        rng.shuffle(s)
+        out.append((s, k))
+    return out
+
+
+def test_transitions_carry_the_language():
+    import numpy as np
+
+    rng = random.Random(3)
+    field = L.fit([(" ".join(s) + ".", k) for s, k in mixed(rng, ["hi", "mr"], 300)], ["hi", "mr"])
+    still = L.Field(field.labels, field.weights, np.zeros_like(field.moves))
+    held = [mixed(rng, ["hi", "mr"], 2) for _ in range(100)]
+    gold = [[k for s, k in parts for _ in s] for parts in held]
+
+    def right(f):
+        got = f.posteriors([[w for s, _ in parts for w in s] for parts in held])
+        return sum(f.labels[i].partition("-")[0] == k for p, ks in zip(got, gold) for i, k in zip(p.argmax(axis=1), ks)) / sum(map(len, gold))
+
+    assert right(field) > 0.93 and right(still) < 0.8
+    assert all(field.moves[i, i] > field.moves[i, j] for i in range(3) for j in range(3) if i != j and {i, j} <= {field.labels.index("hi"), field.labels.index("mr")})
+
+
+def test_gradients_are_those_of_the_likelihood():
+    """Expected changes and posteriors against all paths of a short sequence."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
+    p, changes = L.forward_backward(scores, np.array([5]), moves)
+    want_p, want_c, total = np.zeros((5, 3)), np.zeros((3, 3)), 0.0
+    for path in itertools.product(range(3), repeat=5):
+        m = np.exp(sum(scores[i, k] for i, k in enumerate(path)) + sum(moves[a, b] for a, b in itertools.pairwise(path)))
+        total += m
+        for i, k in enumerate(path):
+            want_p[i, k] += m
+        for a, b in itertools.pairwise(path):
+            want_c[a, b] += m
+    assert np.allclose(p, want_p / total) and np.allclose(changes, want_c / total)
