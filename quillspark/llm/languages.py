@@ -3,8 +3,8 @@
 Words are labelled with a language (Hindi in Latin script is a label of its own and counted
 as Hindi): the emission of a word is the sum of learned weights of its script, itself, its
 affixes, its character 3-grams and the lexicons it stands in; transitions between labels are
-learned too. Posteriors come from forward-backward, run over all sentences of a block at
-once. A sentence has the language with the largest summed posterior; neighbouring sentences
+learned too. Posteriors come from forward-backward over chains of neighbouring sentences, all chains of a block at
+once, so that a sentence with little evidence of its own follows its neighbours. A sentence has the language with the largest summed posterior; neighbouring sentences
 of one language are a stretch, whose confidence is the mean posterior of its words.
 
 All weights are fitted together on about ``sample_rows`` labelled records of each language, drawn by
@@ -38,6 +38,8 @@ SAMPLE_ROWS, SENTENCES, LONGEST = 250, 12, 60
 #: Steps of the fit and their size.
 STEPS, RATE = 60, 0.3
 WIDTH = 1 << 16
+#: Words after which a chain of sentences ends with its sentence.
+CHAIN = 120
 #: Words that a stretch needs, so that a single foreign word is none.
 LEAST_WORDS = 3
 
@@ -326,14 +328,22 @@ def stretches(texts: list[str | None], field: Field) -> list[list[tuple[int, int
     """``start, stop, language, confidence, words`` of the stretches of each text."""
     parts: list[tuple[int, int, int, bool]] = []
     spoken: list[list[str]] = []
+    chains: list[list[str]] = []  # neighbouring sentences of a text are one chain, of about CHAIN words
     for k, t in enumerate(texts):
         if t and t.strip():
             plain = _layout(t)
+            new = True
             for a, b in sentences(plain):
                 s = plain[a:b].rstrip()
                 parts.append((k, a, a + len(s), bool(_TERMINATED.search(s))))
                 spoken.append(words(s))
-    posteriors = field.posteriors(spoken)
+                if new:
+                    chains.append([])
+                chains[-1] += spoken[-1]
+                new = len(chains[-1]) >= CHAIN
+    together = np.concatenate([np.zeros((0, len(field.labels))), *field.posteriors(chains)])
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in spoken])]).astype(np.int64)
+    posteriors = [together[i:j] for i, j in zip(ends[:-1], ends[1:])]
     fold = [x.partition("-")[0] for x in field.labels]
     langs = sorted(set(fold))
     merge = np.zeros((len(fold), len(langs)))
