@@ -199,5 +199,29 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Every run of three words of every text of 50 words or more, each once for its text.
+_RUNS = """t AS (SELECT rec_id, list_filter(regexp_split_to_array(lower(full_text_content), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '') AS w FROM aiscript WHERE full_text_content IS NOT NULL),
+r AS (SELECT DISTINCT rec_id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT rec_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 50) x), n AS (SELECT rec_id, count(*) AS n FROM r GROUP BY rec_id),
+links AS (SELECT a.rec_id AS rec_id_a, b.rec_id AS rec_id_b, count(*) AS c FROM r a JOIN r b ON a.h = b.h AND a.rec_id < b.rec_id GROUP BY ALL),
+similar_ AS (SELECT rec_id_a, rec_id_b FROM links JOIN n na ON na.rec_id = rec_id_a JOIN n nb ON nb.rec_id = rec_id_b WHERE c >= 0.6 * (na.n + nb.n - c))"""
+P4_GROUPS_SQL = f"""WITH RECURSIVE {_RUNS}, e AS (SELECT rec_id_a AS a, rec_id_b AS b FROM similar_ UNION ALL SELECT rec_id_b, rec_id_a FROM similar_),
+c AS (SELECT rec_id, rec_id AS root FROM aiscript UNION SELECT c.rec_id, e.b FROM c JOIN e ON c.root = e.a),
+l AS (SELECT e.a AS rec_id, count(DISTINCT y.full_text_content) AS n_links FROM e JOIN aiscript x ON x.rec_id = e.a JOIN aiscript y ON y.rec_id = e.b WHERE x.full_text_content <> y.full_text_content GROUP BY e.a)
+SELECT c.rec_id, min(root) AS group_id, coalesce(min(n_links), 0) AS n_links FROM c LEFT JOIN l ON c.rec_id = l.rec_id GROUP BY c.rec_id"""
+P4_SQL = f"WITH {_RUNS} SELECT rec_id_a, rec_id_b FROM similar_"
+
+#: Every run of 200 characters of every document, and those that two different documents have.
+_WINDOWS = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200) x),
+shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), s AS (SELECT doc_id, h, i - 1 AS start FROM w WHERE h IN (SELECT h FROM shared))"""
+_PASSAGES = f"""{_WINDOWS}, g AS (SELECT doc_id, start, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <= 200 THEN 0 ELSE 1 END AS new FROM s),
+k AS (SELECT doc_id, start, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g), p AS (SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(start) + 200 AS INTEGER) AS stop FROM k GROUP BY doc_id, run)"""
+P10_SQL = {
+    "p10_found": f"WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_passages": f"WITH {_PASSAGES} SELECT doc_id, start, stop FROM p",
+    "p10_report": f"""WITH {_PASSAGES}, o AS (SELECT doc_id, count(*) AS n_passages, CAST(sum(stop - start) AS BIGINT) AS shared_chars FROM p GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(n_passages, 0) AS n_passages, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0.0 END AS shared_part FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, **P10_SQL}

@@ -1,10 +1,11 @@
 """Pieces of oversized texts, cut at natural boundaries, by structure-tree packing.
 
-A text is a tree: headed sections, paragraphs, lines or list items, sentences, words,
-characters. A node within the limit is kept whole; an oversized one is opened, its children
-packed in the same way and neighbouring siblings merged from the bottom up while they fit.
-Only oversized nodes are opened, so a piece ends at the highest boundary that the limit
-allows. Each piece but the first starts early enough to repeat at least ``overlap`` characters
+A text is a tree: headings by rank (parts, chapters, sections, as words, marks or markup), list
+items, paragraphs, lines, sentences, words, characters. A node within the limit is kept whole; neighbouring siblings
+are merged while they fit; only an oversized node is opened, and what is packed in it is not
+merged with its parent's other children, so a piece ends at the highest boundary that the limit
+allows and never joins the end of one section to the start of the next unless both stand in it
+whole. Each piece but the first starts early enough to repeat at least ``overlap`` characters
 of the one before it, at a sentence or word start near that place, and never exceeds the limit.
 
 Defined results
@@ -24,35 +25,34 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._arrow import map_blocks
 
-_HEADING = re.compile(r"^(?:#{1,6} \S|\(?\d{1,4}[.)] |(?:[^\W\d]+ )?\d{1,4}\. |(?:chapter|part|section|schedule|article|annex\w*)\b|[IVXLC]{1,7}\. )", re.I)
-_PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
-_LINE = re.compile(r"\n+")
+#: Where the nodes of each level start; headings and list items are at the start of a line, higher ranks first.
+_HEADINGS = tuple(
+    re.compile(rf"(?im)^[ \t]*(?:{x})")
+    for x in (
+        r"#\s|<h1\b|(?:part|schedule|annex\w*|appendix)\s+[\w-]+\b",
+        r"##\s|<h2\b|chapter\s+[\w-]+\b|[IVXLC]{1,7}\.\s",
+        r"###\s|<h3\b|(?:section|article|rule|§)\s*\d|\d{1,4}\.\s|[^\W\d]+ \d{1,4}\.\s",
+        r"#{4,6}\s|<h[4-6]\b|<li\b|\(?\d{1,3}\)\s|\d{1,3}\.\d{1,3}\.?\s|\([a-z]{1,4}\)\s|[-*•]\s",
+    )
+)
+_PARAGRAPH = re.compile(r"\n[ \t]*\n\s*|<p\b")
+_LINE = re.compile(r"\n+|<br\b")
 _SENTENCE = re.compile(r"[.।!?;][\"'”’)\]}]*\s+")
 _WORD = re.compile(r"\s+")
-_LEVELS = ("section", "paragraph", "line", "sentence", "word")
+_LEVELS = (*_HEADINGS, _PARAGRAPH, _LINE, _SENTENCE, _WORD)
 
 
-def _children(text: str, a: int, b: int, level: str) -> list[tuple[int, int]]:
+def _children(text: str, a: int, b: int, level: re.Pattern) -> list[tuple[int, int]]:
     """The node's children at a level; they join to it."""
-    pattern = {"section": _PARAGRAPH, "paragraph": _PARAGRAPH, "line": _LINE, "sentence": _SENTENCE, "word": _WORD}[level]
     starts = [a]
-    for m in pattern.finditer(text, a, b):
-        at = m.end()
-        if a < at < b and (level != "section" or _HEADING.match(text[at : at + 80])):
+    for m in level.finditer(text, a, b):
+        # headings and markup begin the next node, white space ends the one before
+        at = m.start() if level in _HEADINGS or text[m.start()] == "<" else m.end()
+        if starts[-1] < at < b and text[a:at].strip():
             starts.append(at)
     return list(zip(starts, [*starts[1:], b]))
 
 
-def _merge(pieces: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in pieces:
-        if out and b - out[-1][0] <= limit:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
 def pack(text: str, limit: int) -> list[tuple[int, int]]:
     """Neighbouring spans of at most ``limit`` characters that join to the text."""
 
@@ -63,7 +63,18 @@ def pack(text: str, limit: int) -> list[tuple[int, int]]:
             parts = _children(text, a, b, _LEVELS[level])
             level += 1
             if len(parts) > 1:
-                return _merge([p for x, y in parts for p in down(x, y, level)], limit)
+                out: list[tuple[int, int]] = []
+                whole = False  # whether the last piece is of whole siblings
+                for x, y in parts:
+                    if y - x > limit:
+                        out += down(x, y, level)
+                        whole = False
+                    elif whole and y - out[-1][0] <= limit:
+                        out[-1] = (out[-1][0], y)
+                    else:
+                        out.append((x, y))
+                        whole = True
+                return out
         return [(k, min(k + limit, b)) for k in range(a, b, limit)]
 
     return down(0, len(text), 0)

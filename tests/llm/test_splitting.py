@@ -48,3 +48,15 @@ def test_table(spark):
     got = S.oversized(df, {"f": (20, 3)}).collect()
     assert {r.id for r in got} == {1, None} and sum(r.id == 1 and r.piece_no == 0 for r in got) == 2
     assert S.oversized(df.limit(0), {"f": (20, 3)}).count() == 0
+
+
+def test_ranks_of_headings():
+    section = lambda k, n: f"{k}. Title.\n" + "The officer keeps it. " * n + "\n"
+    text = "PART A\n" + section(1, 10) + section(2, 10) + "PART B\n" + section(3, 30) + section(4, 2) + "(a) one\n(b) two\n" + "PART C\n" + section(5, 2)
+    got = [text[a:b] for a, b in S.pack(text, 520)]
+    assert "".join(got) == text and all(len(x) <= 520 for x in got)
+    assert got[0].startswith("PART A") and got[0].endswith("2. Title.\n" + "The officer keeps it. " * 10 + "\n")
+    assert got[1].startswith("PART B") and [x for x in got if "PART C" in x] == ["PART C\n" + section(5, 2)]  # no piece crosses from part B to part C
+    marked = "<h1>A</h1><p>" + "x " * 100 + "</p>\n<h1>B</h1>\n<li>" + "y " * 60 + "\n<li>" + "z " * 60
+    parts = [marked[a:b] for a, b in S.pack(marked, 230)]
+    assert "".join(parts) == marked and parts[0].startswith("<h1>A") and any(x.startswith("<h1>B") for x in parts) and any(x.lstrip().startswith("<li>z") for x in parts)
