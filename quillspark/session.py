@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, **extra: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | extra
     spark = SparkSession.builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
