@@ -4,7 +4,7 @@ Words are labelled with a language (Hindi in Latin script is a label of its own
 as Hindi): the emission of a word is the sum of learned weights of its script, itself, its
 affixes, its character 3-grams and the lexicons it stands in; transitions between labels are
 learned too. Posteriors come from forward-backward over chains of neighbouring sentences, all chains of a block at
-once, so that a sentence with little evidence of its own follows its neighbours. A sentence has the language with the largest summed posterior; neighbouring sentences
+once, so that a sentence with little evidence of its own follows its neighbours. A sentence has the language with the largest summed posterior, or its neighbour's where that is under ``SURE`` of its words; neighbouring sentences
 of one language are a stretch, whose confidence is the mean posterior of its words.
 
 All weights are fitted together on about ``sample_rows`` labelled records of each language, drawn by
@@ -39,6 +39,8 @@ SAMPLE_ROWS, SENTENCES, LONGEST = 250, 12, 60
 #: Steps of the fit and their size.
 STEPS, RATE = 60, 0.3
 WIDTH = 1 << 16
+#: Mean posterior below which a sentence follows its neighbours.
+SURE = 0.65
 #: Words after which a chain of sentences ends with its sentence.
 CHAIN = 120
 #: Words that a stretch needs, so that a single foreign word is none.
@@ -318,8 +320,10 @@ def stretches(texts: list[str | None], field: Field) -> list[list[tuple[int, int
     for pieces in own:
         strong = [x for x in pieces if x[4] and x[3] >= LEAST_WORDS] or [x for x in pieces if x[3] >= LEAST_WORDS] or [x for x in pieces if x[3]]
         runs: list[list] = []
-        for a, b, p, n, _ in strong:
-            lang = int(p.argmax())
+        sure = [int(p.argmax()) if p.max() >= SURE * n else -1 for _, _, p, n, _ in strong]
+        for k, (a, b, p, n, _) in enumerate(strong):
+            # an unsure sentence goes with the one before, at the start with the next sure one
+            lang = sure[k] if sure[k] >= 0 else runs[-1][2] if runs else next((x for x in sure[k:] if x >= 0), int(p.argmax()))
             if runs and runs[-1][2] == lang:
                 runs[-1][1] = b
                 runs[-1][3] += p[lang]
